@@ -123,19 +123,26 @@ def _with_terms(posts: DataFrame, keep: Callable[[Column], Column] | None) -> Da
         return F.struct(
             F.get(s, start)["term"].alias("term"),
             tf.cast("bigint").alias("tf"),
-            F.transform(F.slice(s, start + 1, tf), lambda x: x["pos"]).alias("positions"),
+            F.transform(F.sequence(start, start + tf - 1), lambda j: F.get(s, j)["pos"]).alias("positions"),
         )
 
     return starts.select("id", "created_s", "dl", F.transform(starts_col, posting).alias("terms"))
 
 
+def _posting_rows(rows: DataFrame) -> DataFrame:
+    # explode_outer, because for a plain explode the optimizer infers a non-empty filter and pushes
+    # it below the row-local steps, repeating the whole tokenisation once more per reference to it
+    each = rows.select("id", "dl", F.explode_outer("terms").alias("t")).where(F.col("t").isNotNull())
+    return each.select("t.term", "id", "t.tf", "dl", "t.positions")
+
+
 def build_index(posts: DataFrame) -> Index:
     """Index of all posts, deleted ones included. Needs `id, created, body`."""
     rows = _with_terms(posts, None)
     docs = posts.select(
         "id", F.unix_seconds("created").alias("created_s"), F.size(tokens(F.col("body"))).cast("bigint").alias("dl")
     )
-    postings = rows.select("id", "dl", F.explode("terms").alias("t")).select("t.term", "id", "t.tf", "dl", "t.positions")
+    postings = _posting_rows(rows)
     return Index(docs, postings)
 
 
@@ -153,7 +160,7 @@ def index_for(posts: DataFrame, clauses: list[Clause]) -> Index:
         return test
 
     rows = durable(_with_terms(posts, keep))
-    postings = rows.select("id", "dl", F.explode("terms").alias("t")).select("t.term", "id", "t.tf", "dl", "t.positions")
+    postings = _posting_rows(rows)
     return Index(rows.select("id", "created_s", "dl"), postings)
 
 
@@ -210,11 +217,15 @@ def corpus_stats(index: Index) -> DataFrame:
 # ---- retrieval -----------------------------------------------------------------------------------
 
 
+def _minus(offset: int) -> Callable[[Column], Column]:
+    return lambda p: p - offset
+
+
 def _phrase_frequency(columns: list[Column]) -> Column:
     """How often words stand next to each other, given the position arrays of each word in turn."""
     starts = columns[0]
     for offset, positions in enumerate(columns[1:], start=1):
-        starts = F.array_intersect(starts, F.transform(positions, lambda p, o=offset: p - o))
+        starts = F.array_intersect(starts, F.transform(positions, _minus(offset)))
     return F.size(starts).cast("bigint")
 
 

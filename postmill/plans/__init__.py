@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 # modules that register queries when imported
-MODULES = ["listing", "search"]
+MODULES = ["listing", "search", "text", "media"]
 
 
 def all_queries():
