@@ -24,15 +24,16 @@ _FIT = """CASE WHEN {w} > {W} AND {h} * {W} > {H} * {w} THEN ({H} * {w}) // ({h}
 
 @query(
     "m1_extension_for_type",
-    """WITH t AS (SELECT DISTINCT mime_type FROM fx_mime UNION SELECT 'image/' || lang FROM documents UNION SELECT 'video/mp4')
+    f"""WITH t AS (SELECT content_type AS mime_type FROM fx_media WHERE content_type IS NOT NULL UNION SELECT 'image/' || lang FROM documents
+         UNION SELECT {_LOOKUP.format('url')} FROM pages)
        SELECT mime_type, coalesce((SELECT ext FROM fx_mime m WHERE m.ext = split_part(t.mime_type, '/', 2)),
-         (SELECT min(ext) FROM fx_mime m WHERE m.mime_type = t.mime_type), split_part(t.mime_type, '/', 2)) AS ext FROM t
-       WHERE EXISTS (SELECT 1 FROM documents)""",
+         (SELECT min(ext) FROM fx_mime m WHERE m.mime_type = t.mime_type), split_part(t.mime_type, '/', 2)) AS ext FROM t""",
 )
 def m1(spark, sf):
-    docs = fx.table(spark, sf, "documents")
-    known = docs.select(F.explode(F.array(*[F.lit(t) for t in sorted(set(mime.MIME_TYPES.values()))])).alias("mime_type"))
-    types = known.unionByName(docs.select(F.concat(F.lit("image/"), F.col("lang")).alias("mime_type"))).distinct()
+    declared = media(spark, sf).where(F.col("content_type").isNotNull()).select(F.col("content_type").alias("mime_type"))
+    invented = fx.table(spark, sf, "documents").select(F.concat(F.lit("image/"), F.col("lang")).alias("mime_type"))
+    guessed = fx.table(spark, sf, "pages").select(mime.mime_type(F.col("url")).alias("mime_type"))
+    types = declared.unionByName(invented).unionByName(guessed).distinct()
     return types.select("mime_type", mime.extension_for(F.col("mime_type")).alias("ext"))
 
 
