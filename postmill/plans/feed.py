@@ -26,7 +26,7 @@ _FEED = f"""{_NESTED},
  u AS (SELECT *, '{_HOST}' || CASE WHEN old_id IS NOT NULL THEN '/post/' || old_id ELSE '/' || id::varchar END AS url,
     {_FIT.format(w='m_w', h='m_h', W=550, H=500, s=1, a='b')}
    FROM n WHERE deleted IS NULL ORDER BY id DESC LIMIT 10),
- v AS (SELECT *, coalesce(url || '/' || m_old, '{_HOST}/media/' || m_url) AS media_url,
+ v AS (SELECT * EXCLUDE (media_url, full_url, media_type), coalesce(url || '/' || m_old, '{_HOST}/media/' || m_url) AS media_url,
     coalesce(url || '/' || f_old, '{_HOST}/media/' || f_url) AS full_url FROM u),
  i AS (SELECT *, '<img src="' || media_url || '" style="width:' || bw::varchar || 'px;height:' || bh::varchar || 'px" width="' || bw::varchar
     || '" height="' || bh::varchar || '"/>' AS img,

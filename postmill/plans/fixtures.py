@@ -132,6 +132,29 @@ SELECT concat('leg', cast(doc_id AS string)) AS id, text AS body, source AS auth
 FROM {documents} d
 """
 
+# the full fact log of posts, media and crossposts, values as text (times in epoch millis)
+_FULL = """
+SELECT id AS e, 'post/id' AS a, id::varchar AS v FROM fx_posts
+UNION ALL SELECT id, 'post/old-id', old_id FROM fx_posts WHERE old_id IS NOT NULL
+UNION ALL SELECT id, 'post/body', body FROM fx_posts
+UNION ALL SELECT id, 'post/author', author FROM fx_posts
+UNION ALL SELECT id, 'post/created', (epoch_us(created) // 1000)::varchar FROM fx_posts
+UNION ALL SELECT id, 'post/updated', (epoch_us(updated) // 1000)::varchar FROM fx_posts
+UNION ALL SELECT id, 'post/deleted?', 'true' FROM fx_posts WHERE deleted
+UNION ALL SELECT post_id, CASE role WHEN 'media' THEN 'post/media' ELSE 'post/media-full' END, e::varchar FROM fx_media
+UNION ALL SELECT e, 'media/url', url FROM fx_media
+UNION ALL SELECT e, 'media/old-url', old_url FROM fx_media WHERE old_url IS NOT NULL
+UNION ALL SELECT e, 'media/content-type', content_type FROM fx_media WHERE content_type IS NOT NULL
+UNION ALL SELECT e, 'media/width', width::varchar FROM fx_media
+UNION ALL SELECT e, 'media/height', height::varchar FROM fx_media
+UNION ALL SELECT e, 'media/version', version::varchar FROM fx_media
+UNION ALL SELECT post_id, 'post/crosspost', e::varchar FROM fx_crossposts
+UNION ALL SELECT e, 'crosspost/type', type FROM fx_crossposts
+UNION ALL SELECT e, 'crosspost.tg/channel', channel FROM fx_crossposts WHERE channel IS NOT NULL
+UNION ALL SELECT e, 'crosspost.tg/message-id', message_id FROM fx_crossposts WHERE message_id IS NOT NULL
+UNION ALL SELECT e, 'crosspost.mstd/media-id', media_id FROM fx_crossposts WHERE media_id IS NOT NULL
+"""
+
 _DUCK_SECONDS = "make_timestamp(({}) * 1000000)"
 _names = {n: n for n in ("fx_posts", "documents", "labels", "events")}
 _DUCK_NUMBER = _NUMBER.replace("{all}", "', 'g'")
@@ -154,6 +177,7 @@ ORACLE_VIEWS: dict[str, str] = {
     "fx_legacy": _LEGACY.format(
         created=_DUCK_SECONDS.format(_LEGACY_SECONDS), updated=_DUCK_SECONDS.format(_LEGACY_SECONDS + " + 3600"), **_names
     ),
+    "fx_full": _FULL,
     "fx_mime": "SELECT * FROM (VALUES {}) t(ext, mime_type)".format(
         ", ".join(f"('{ext}', '{mime}')" for ext, mime in MIME_TYPES.items())
     ),
@@ -269,3 +293,18 @@ def posts_with_crossposts(spark: SparkSession, sf: str) -> DataFrame:
         F.when(i % 5 == 2, cp(F.lit("mstd"), none, none, F.concat(F.lit("m"), i.cast("string")), ids)),
     )
     return p.withColumn("crosspost", F.array_compact(items))
+
+
+def full_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """The fact log of all posts, media and crossposts as one stored transaction.
+
+    It is written once per query and read back, because folds, identity lookups and retractions
+    each read a few attributes of it, and the stored layout prunes to those.
+    """
+    from postmill.operators.facts import facts_from_tables
+    from postmill.session import new_path
+    from postmill.sources.store import Store
+
+    store = Store(spark, new_path(spark, "facts"))
+    store.append(facts_from_tables(fx_posts(spark, sf), fx_media(spark, sf), fx_crossposts(spark, sf), tx=1), tx=1)
+    return store.facts()
