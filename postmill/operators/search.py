@@ -80,6 +80,7 @@ def words_clause(text: str) -> list[Clause]:
 class Index:
     docs: DataFrame  # id, created_s, dl
     postings: DataFrame  # term, id, tf, dl, positions
+    buckets: int | None = None  # of a stored index
 
 
 def _grouped_terms(keep: Callable[[Column], Column] | None) -> Callable[[Column], Column]:
@@ -184,10 +185,13 @@ def write_index(index: Index, path: str, buckets: int = TERM_BUCKETS, files_per_
         .parquet(f"{path}/postings")
     )
     index.docs.write.mode("errorifexists").parquet(f"{path}/docs")
+    spark = index.docs.sparkSession
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("errorifexists").parquet(f"{path}/meta")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"))
+    buckets = spark.read.parquet(f"{path}/meta").first()["buckets"]
+    return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"), buckets)
 
 
 def upsert_index(index: Index, changed_posts: DataFrame) -> Index:
@@ -258,10 +262,10 @@ def matches(
     for w in wanted[1:]:
         test = test | w
     hits = index.postings.where(test)
-    if words and not sets and "bucket" in index.postings.columns:
+    if words and not sets and index.buckets:
         # literal bucket numbers prune the stored index to the files of the query's terms
         spark = index.postings.sparkSession
-        row = spark.range(1).select(F.array(*[term_bucket(F.lit(w)) for w in words])).first()
+        row = spark.range(1).select(F.array(*[term_bucket(F.lit(w), index.buckets) for w in words])).first()
         hits = hits.where(F.col("bucket").isin(*sorted(set(row[0]))))
 
     aggs = [F.max("dl").alias("dl")]
