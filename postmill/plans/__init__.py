@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 # modules that register queries when imported
-MODULES = ["listing", "search", "text", "media", "feed", "facts", "migrate", "sources"]
+MODULES = ["listing", "search", "text", "media", "feed", "facts", "migrate", "sources", "tokens"]
 
 
 def all_queries():

@@ -32,12 +32,15 @@ class Store:
         target = jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
 
-    def facts(self) -> DataFrame:
-        """All facts, or an empty table when nothing has been stored."""
+    def facts(self, before: int | None = None) -> DataFrame:
+        """All facts (or those before a transaction); an empty table when nothing is stored."""
         root = f"{self.path}/facts"
         if not self._exists(root):
             return self.spark.createDataFrame([], FACT)
-        return self.spark.read.schema(_STORED).option("basePath", root).parquet(root).select(*FACT.fieldNames())
+        rows = self.spark.read.schema(_STORED).option("basePath", root).parquet(root)
+        if before is not None:
+            rows = rows.where(rows["batch"] < before)
+        return rows.select(*FACT.fieldNames())
 
     def version(self) -> int:
         """The last transaction; read from folder names, without touching the data."""
