@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmill.operators.walk import Walker, sorted_walk
+
 # fixed value: seconds a token stays valid, the limit included
 TTL_S = 15 * 60
 CHUNK_S = 3600
@@ -28,76 +28,90 @@ def step(created: int | None, ts: int, kind: str, ttl: int = TTL_S) -> tuple[int
     return (None, "ok") if valid else (created, "refused")
 
 
-def _replay(times, kinds, created):
-    outcomes = []
-    for ts, kind in zip(times, kinds):
-        created, outcome = step(created, ts, kind)
-        outcomes.append(outcome)
-    return created, outcomes
-
-
-def _summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+class _Summary(Walker):
     """The token left by a chunk, for each token it may start with.
 
     A redeem, or a pause longer than the limit, leaves the same state whatever came before, so the
     result is one number. Otherwise the start decides which issue is the first to succeed; the
     possible ones lie within the limit after the first row.
     """
-    pdf = pdf.sort_values(["ts_s", "seq"])
-    times = pdf["ts_s"].to_numpy()
-    end, _ = _replay(times.tolist(), pdf["kind"].tolist(), None)
-    at, out = [], []
-    pauses = np.diff(times).max(initial=0) > TTL_S
-    if not pauses and not (pdf["kind"] == "redeem").any():
-        t = np.unique(times)
-        after = np.searchsorted(t, t + TTL_S, side="right")  # next issue to succeed after each
-        final = np.empty(len(t), dtype=np.int64)
-        for i in range(len(t) - 1, -1, -1):
-            final[i] = t[i] if after[i] == len(t) else final[after[i]]
-        last = min(int(after[0]), len(t) - 1)
-        at, out = t[1 : last + 1].tolist(), final[1 : last + 1].tolist()
-        chained = True
-    else:
-        chained = False
-    row = (pdf["handle"].iloc[0], pdf["chunk"].iloc[0], int(times[0]), end, chained, at, out)
-    return pd.DataFrame([row], columns=["handle", "chunk", "first_s", "end_s", "chained", "at", "out"]).astype({"end_s": "Int64"})
-
-
-def _carry(pdf: pd.DataFrame) -> pd.DataFrame:
+
+    def __init__(self, key: tuple):
+        self.key, self.created, self.chained, self.times = key, None, True, []
+
+    def row(self, values: tuple) -> list[tuple]:
+        _, _, ts, _, kind = values
+        self.created, _ = step(self.created, ts, kind)
+        if kind == "redeem" or (self.times and ts - self.times[-1] > TTL_S):
+            self.chained = False
+        if not self.times or (self.chained and ts != self.times[-1]):
+            self.times.append(ts)  # distinct seconds, so at most the length of a chunk
+        elif not self.chained:
+            self.times[1:] = [ts]
+        return []
+
+    def end(self) -> list[tuple]:
+        at, out, t = [], [], self.times
+        if self.chained:
+            after = [bisect_right(t, x + TTL_S) for x in t]  # the next issue to succeed after each
+            final = list(t)
+            for i in range(len(t) - 1, -1, -1):
+                if after[i] < len(t):
+                    final[i] = final[after[i]]
+            last = min(after[0], len(t) - 1)
+            at, out = t[1 : last + 1], final[1 : last + 1]
+        return [(*self.key, t[0], self.created, self.chained, at, out)]
+
+
+class _Chain(Walker):
     """Chains the chunk summaries of a handle: the token each chunk starts with."""
-    pdf = pdf.sort_values("chunk")
-    created, starts = None, []
-    for row in pdf.itertuples(index=False):
-        starts.append(created)
-        fresh = created is None or row.first_s - created > TTL_S
-        if fresh or not row.chained:
-            created = None if pd.isna(row.end_s) else int(row.end_s)
+
+    def __init__(self, key: tuple):
+        self.created = None
+
+    def row(self, values: tuple) -> list[tuple]:
+        handle, chunk, first_s, end_s, chained, at, out = values
+        start = self.created
+        if not chained or start is None or first_s - start > TTL_S:
+            self.created = end_s
         else:
-            i = bisect_right(list(row.at), created + TTL_S)
-            if i < len(row.at):
-                created = int(row.out[i])
-    return pd.DataFrame({"handle": pdf["handle"], "chunk": pdf["chunk"], "start_s": pd.array(starts, dtype="Int64")})
+            i = bisect_right(at, start + TTL_S)
+            if i < len(at):
+                self.created = out[i]
+        return [(handle, chunk, start)]
+
 
+class _Replay(Walker):
+    """The rows of a chunk, after a first row that only says what the chunk starts with."""
 
-def _emit(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["ts_s", "seq"])
-    start = pdf["start_s"].iloc[0]
-    _, outcomes = _replay(pdf["ts_s"].tolist(), pdf["kind"].tolist(), None if pd.isna(start) else int(start))
-    return pdf[["seq", "handle", "ts_s", "kind"]].assign(outcome=outcomes)
+    def __init__(self, key: tuple):
+        self.created = None
+
+    def row(self, values: tuple) -> list[tuple]:
+        handle, _, ts, seq, kind, start = values
+        if seq is None:
+            self.created = start
+            return []
+        self.created, outcome = step(self.created, ts, kind)
+        return [(seq, handle, ts, kind, outcome)]
 
 
 def token_outcomes(log: DataFrame, chunk_s: int = CHUNK_S) -> DataFrame:
     """`seq, handle, ts_s, kind, outcome` of a log of `issue` and `redeem` rows.
 
-    A task holds one handle's rows of one chunk; shorten `chunk_s` for very dense logs. The result
+    A task replays one handle's chunk at a time; shorten `chunk_s` for very dense logs. The result
     does not depend on it.
     """
-    rows = log.select("seq", "handle", "ts_s", "kind").withColumn("chunk", F.floor(F.col("ts_s") / chunk_s))
+    chunk = F.floor(F.col("ts_s") / chunk_s).alias("chunk")
+    rows = log.select("handle", chunk, "ts_s", "seq", "kind")
     keys = ["handle", "chunk"]
-    summary = rows.groupBy(*keys).applyInPandas(
-        _summarise, "handle string, chunk bigint, first_s bigint, end_s bigint, chained boolean, at array<bigint>, out array<bigint>"
-    )
-    carry = summary.groupBy("handle").applyInPandas(_carry, "handle string, chunk bigint, start_s bigint")
-    return rows.join(carry, keys).groupBy(*keys).applyInPandas(
-        _emit, "seq bigint, handle string, ts_s bigint, kind string, outcome string"
+    summary = sorted_walk(
+        rows, keys, ["ts_s", "seq"], _Summary,
+        "handle string, chunk bigint, first_s bigint, end_s bigint, chained boolean, at array<bigint>, out array<bigint>",
     )
+    carry = sorted_walk(summary, ["handle"], ["chunk"], _Chain, "handle string, chunk bigint, start_s bigint")
+    none = F.lit(None)
+    heads = carry.select("handle", "chunk", none.cast("bigint").alias("ts_s"), none.cast("bigint").alias("seq"), none.cast("string").alias("kind"), "start_s")
+    # the start rides along as the chunk's first row: no join, so nothing can split a chunk
+    both = rows.withColumn("start_s", none.cast("bigint")).unionByName(heads)
+    return sorted_walk(both, keys, ["ts_s", "seq"], _Replay, "seq bigint, handle string, ts_s bigint, kind string, outcome string")
