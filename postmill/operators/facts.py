@@ -53,12 +53,11 @@ def fact_rows(df: DataFrame, e: str | Column, values: dict[str, Column], tx: int
     """Facts from wide rows, one per non-null value. A column `ord` of `df` orders them, else 0."""
     types = {f.name: f.dataType for f in FACT.fields}
     ordinal = F.col("ord") if "ord" in df.columns else F.lit(0)
+    empty = {c: F.lit(None).cast(types[c]).alias(c) for c in VALUE_COLUMNS}
     items = []
     for name, value in values.items():
         target = ATTR[name].column
-        columns = [
-            (value if c == target else F.lit(None)).cast(types[c]).alias(c) for c in VALUE_COLUMNS
-        ]
+        columns = [*{**empty, target: value.cast(types[target]).alias(target)}.values()]
         items.append(F.when(value.isNotNull(), F.struct(F.lit(name).alias("a"), *columns)))
     e = F.col(e) if isinstance(e, str) else e
     tx = F.lit(tx) if isinstance(tx, int) else tx

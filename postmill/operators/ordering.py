@@ -15,8 +15,8 @@ def numbered(df: DataFrame, order: list[str | Column], name: str, start: int | C
     """Adds consecutive numbers in the given order (which should end in a unique column).
 
     Rows are range-partitioned and sorted; each partition's first number comes from the counts of
-    the ones before it. The sorted rows are checkpointed, so counting and numbering see the same
-    partitions even if executors are lost in between. Equal keys share a partition only when the
+    the ones before it. The sorted rows are written to the shared folder, so counting and numbering
+    see the same partitions even if executors are lost in between. Equal keys share a partition only when the
     whole order is equal, so a value held by a third of the rows is still spread.
     """
     position = F.monotonically_increasing_id()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postmill.functions.text import WORD, tokens
+from postmill.functions.text import WORD, replace_matches, tokens
 from postmill.session import durable
 
 # fixed values: parameters of the ranking formula
@@ -150,7 +150,7 @@ def build_index(posts: DataFrame) -> Index:
 def index_for(posts: DataFrame, clauses: list[Clause]) -> Index:
     """Index holding only the postings the clauses can match, for searching without a stored index.
 
-    The corpus is tokenised once; what remains (one slim row per post) is checkpointed, since
+    The corpus is tokenised once; what remains (one slim row per post) is stored, since
     statistics, matches and totals are all derived from it.
     """
 
@@ -352,6 +352,14 @@ def highlight(body: Column, clauses: list[Clause]) -> Column:
     """Body with `<em>` around each word a clause matches, null when there is none. Words of a phrase
     are marked only where the phrase stands."""
     words_re = WORD + "+"
+    if all(len(c.words) == 1 for c in clauses):
+        # exact words only: look for these, and check each candidate the way the index folds case
+        words = [c.words[0] for c in clauses]
+        candidates = rf"(?iu)(?<!{WORD})(?:{'|'.join(re.escape(w) for w in words)})(?!{WORD})"
+        marked = replace_matches(
+            body, candidates, lambda m: F.when(F.lower(m).isin(words), F.concat(F.lit("<em>"), m, F.lit("</em>"))).otherwise(m)
+        )
+        return F.nullif(marked, body)
     singles = [c for c in clauses if len(c.words) < 2]
     phrases = [c for c in clauses if len(c.words) > 1]
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib
 
 # modules that register queries when imported
-MODULES = ["listing", "search", "text", "media", "feed", "facts", "migrate", "sources", "tokens"]
+MODULES = [
+    "listing", "search", "text", "media", "feed", "facts", "migrate", "sources", "tokens", "streams",
+]
 
 
 def all_queries():

@@ -139,7 +139,7 @@ def a4(spark, sf):
        WHERE who IS NOT NULL AND lower(who) NOT IN ('src3', 'src15', 'mention') GROUP BY 1 ORDER BY 1""",
 )
 def a5(spark, sf):
-    return L.contributors(fx.fx_posts(spark, sf), EXCLUDED).orderBy("handle")
+    return L.contributors(fx.fx_posts(spark, sf, text_work=True), EXCLUDED).orderBy("handle")
 
 
 @query("a11_indexed_posts", "SELECT count(*) AS posts FROM fx_posts")

@@ -43,6 +43,8 @@ def _views_used(sql: str) -> list[str]:
 
 def with_views(sql: str) -> str:
     """Prepend the fixture views as common table expressions."""
+    if sql.startswith("WITH RECURSIVE fx_"):
+        return sql  # already done, for a query that shares another one's SQL
     views = ",\n".join(f"{name} AS ({ORACLE_VIEWS[name].strip()})" for name in _views_used(sql))
     sql = sql.strip()
     head = re.match(r"WITH\s+(RECURSIVE\s+)?", sql, re.IGNORECASE)

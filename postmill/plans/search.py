@@ -34,7 +34,7 @@ def rounded(df):
 
 
 def docs(spark, sf):
-    return fx.fx_posts(spark, sf).select("id", "created", "body")
+    return fx.fx_posts(spark, sf, text_work=True).select("id", "created", "body")
 
 
 @query("i1_a7_index_postings", f"WITH {_INDEX} SELECT term, id, tf, dl, array_to_string(positions, ',') AS positions FROM postings")
@@ -223,7 +223,7 @@ def i12(spark, sf):
         SELECT rank, total, id, {format_text_sql('txt')} AS html FROM marked""",
 )
 def i14(spark, sf):
-    return result_page(fx.fx_posts(spark, sf), "in* the?", page=2, size=10)
+    return result_page(fx.fx_posts(spark, sf, text_work=True), "in* the?", page=2, size=10)
 
 
 def result_page(posts, q: str, page: int, size: int):

@@ -9,6 +9,7 @@ from postmill.functions import times as TM
 from postmill.functions import xml
 from postmill.operators import props
 from postmill.operators import threads as TH
+from postmill.operators.checks import at_most_one
 from postmill.plans import fixtures as fx
 from postmill.plans.registry import query
 from postmill.plans.sqltext import format_text_sql, strip_tags_sql
@@ -17,7 +18,7 @@ _AUTHORED = """'<span class="post_author">' || author || ': </span>' || body"""
 
 
 def posts(spark, sf):
-    return fx.fx_posts(spark, sf)
+    return fx.fx_posts(spark, sf, text_work=True)
 
 
 @query("f1_format_text", f"SELECT id, {format_text_sql(_AUTHORED)} AS html FROM fx_posts")
@@ -173,13 +174,6 @@ def a13(spark, sf):
     return at_most_one(posts(spark, sf), "id", "author")
 
 
-def at_most_one(df, key: str, value: str):
-    """The single value of each key; more than one row for a key is an error."""
-    grouped = df.groupBy(key).agg(F.count("*").alias("n"), F.max(value).alias("v"))
-    checked = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("Expected no more than 1 element, got: "), F.col("n").cast("string"))))
-    return grouped.select(key, F.coalesce(checked.cast("string"), F.col("v")).alias(value))
-
-
 # the same cutting rule, one step per recursion
 _THREADS = """
 steps AS (

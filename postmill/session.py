@@ -51,9 +51,23 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint, so that later passes see the same rows
-    in the same partitions even when executors are lost."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and read it back.
+
+    Later passes see the same rows even when executors are lost, read only the columns they need,
+    and join with known sizes.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a table read from few splits enough partitions for CPU-heavy text work.
+
+    A table scan with at least as many splits as the cluster has cores is left as it is, so large
+    inputs are never shuffled by this. `key` should be unique. Pass a plain scan: its splits are
+    known without running anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
