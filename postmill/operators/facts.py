@@ -171,9 +171,26 @@ def media_posts(facts: DataFrame) -> DataFrame:
 # ---- change rows ---------------------------------------------------------------------------------
 
 
+def holders(facts: DataFrame, attr: str, values: DataFrame) -> DataFrame:
+    """Entities `e` currently holding one of the `value`s of a unique attribute: `value, e`.
+
+    Only entities that ever held one are folded, so a small batch does not shuffle the whole log.
+    """
+    column = F.col(ATTR[attr].column).alias("value")
+    log = facts.where(F.col("a") == attr)
+    wanted = values.select("value").distinct()
+    ever = log.select("e", column).join(wanted, "value", "left_semi").select("e").distinct()
+    now = current(log.join(ever, "e", "left_semi")).select(column, "e")
+    return now.join(wanted, "value", "left_semi")
+
+
 def resolve(facts: DataFrame, rows: DataFrame, attr: str, column: str) -> DataFrame:
-    """Adds `e`: the entity holding the unique value, or a new one per distinct new value."""
-    known = current(facts.where(F.col("a") == attr)).select(F.col(ATTR[attr].column).alias(column), "e")
+    """Adds `e`: the entity holding the unique value, or a new one per distinct new value.
+
+    `rows` is read several times; store it first if it is costly.
+    """
+    values = rows.select(F.col(column).alias("value"))
+    known = holders(facts, attr, values).withColumnRenamed("value", column)
     fresh = rows.select(column).distinct().join(known, column, "left_anti")
     top = facts.agg(F.coalesce(F.max("e"), F.lit(0)).alias("e")).scalar()
     new = numbered(fresh, [column], "k").select(column, (F.col("k") + top).alias("new_e"))
@@ -197,16 +214,26 @@ def retract_attribute(entities: DataFrame, attr: str, tx: int) -> DataFrame:
     )
 
 
+def facts_about(facts: DataFrame, post_ids: DataFrame) -> DataFrame:
+    """All facts of the posts with the given `id`s and of what they own."""
+    posts = facts.where(F.col("a") == "post/id").join(post_ids.select(F.col("id").alias("v_long")), "v_long", "left_semi").select("e")
+    owned = facts.where(F.col("a").isin(COMPONENTS)).join(posts, "e", "left_semi").select(F.col("v_long").alias("e"))
+    return facts.join(posts.unionByName(owned).distinct(), "e", "left_semi").select(*COLUMNS)
+
+
 def retract_entity(facts: DataFrame, entities: DataFrame, tx: int, ord: int = 0) -> DataFrame:
     """Tombstones for everything said about the entities `e`, their components, and references to
-    either."""
-    now = current(facts)
+    either. Only the facts concerned are folded."""
     gone = entities.select("e").distinct()
-    owned = now.where(F.col("a").isin(COMPONENTS)).join(gone, "e", "left_semi").select(F.col("v_long").alias("e"))
+    refs = facts.where(F.col("a").isin(COMPONENTS))
+    owned = current(refs.join(gone, "e", "left_semi")).select(F.col("v_long").alias("e"))
     doomed = gone.unionByName(owned).distinct()
-    own = now.join(doomed, "e", "left_semi")
-    refs = now.where(F.col("a").isin(COMPONENTS)).join(doomed.select(F.col("e").alias("v_long")), "v_long", "left_semi")
-    both = own.unionByName(refs.select(*own.columns))
+    own = current(facts.join(doomed, "e", "left_semi"))
+    targets = doomed.select(F.col("e").alias("v_long"))
+    # whoever ever pointed at them; the fold then tells who still does
+    pointing = refs.join(targets, "v_long", "left_semi").select("e").distinct()
+    pointers = current(refs.join(pointing, "e", "left_semi")).join(targets, "v_long", "left_semi")
+    both = own.unionByName(pointers.select(*own.columns))
     return both.select(
         "e", "a", *VALUE_COLUMNS, F.lit(tx).cast("bigint").alias("tx"), F.lit(ord).cast("bigint").alias("ord"), F.lit("retract").alias("op")
     ).select(*COLUMNS)

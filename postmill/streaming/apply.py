@@ -21,7 +21,10 @@ def apply_edits(store: Store, edits: DataFrame, tx: int, now: datetime) -> None:
     """
     at = F.lit(now.astimezone(timezone.utc))
     facts = store.facts(before=tx)
-    plan = PB.publish_plan(FX.snapshot(facts), edits, now.year)
+    # fold only the posts the batch touches; ids are read from their own partition of the log
+    touched = FX.facts_about(facts, edits.where("post_id is not null").select(F.col("post_id").alias("id")))
+    ids = facts.where(F.col("a") == "post/id").select(F.col("v_long").alias("id"))
+    plan = PB.publish_plan(FX.snapshot(touched), edits, now.year, ids)
     store.append(PB.publish_facts(facts, plan, at, tx), tx)
 
 
