@@ -261,12 +261,13 @@ def matches(
     test = wanted[0]
     for w in wanted[1:]:
         test = test | w
-    hits = index.postings.where(test)
-    if words and not sets and index.buckets:
-        # literal bucket numbers prune the stored index to the files of the query's terms
+    exact = index.postings
+    if words and index.buckets:
+        # literal bucket numbers prune the stored index to the files of the query's words
         spark = index.postings.sparkSession
         row = spark.range(1).select(F.array(*[term_bucket(F.lit(w), index.buckets) for w in words])).first()
-        hits = hits.where(F.col("bucket").isin(*sorted(set(row[0]))))
+        exact = exact.where(F.col("bucket").isin(*sorted(set(row[0]))))
+    hits = (index.postings if sets else exact).where(test)
 
     aggs = [F.max("dl").alias("dl")]
     for w, i in word_slot.items():
@@ -280,7 +281,7 @@ def matches(
     stats = index.docs.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avg_dl")).alias("s")).scalar()
     slots = slots.withColumn("stats", stats)
     if words:
-        df_row = index.postings.where(t.isin(*words)).agg(
+        df_row = exact.where(t.isin(*words)).agg(
             F.struct(*[F.sum(F.when(t == w, 1).otherwise(0)).alias(f"df{i}") for w, i in word_slot.items()]).alias("d")
         )
         slots = slots.withColumn("dfs", df_row.scalar())

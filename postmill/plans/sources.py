@@ -55,6 +55,14 @@ def s8(spark, sf):
     return SF.file_listing(spark, sf, r"[a-z]+\.parquet").select("name", "length")
 
 
+@query("s10_feed_file", "SELECT '    <id>https://site.example' || CASE WHEN old_id IS NOT NULL THEN '/post/' || old_id ELSE '/' || id::varchar END || '</id>' AS value FROM (SELECT * FROM fx_posts WHERE deleted IS NULL ORDER BY id DESC LIMIT 10)")
+def s10(spark, sf):
+    path = new_path(spark, "feed")
+    feed = FD.feed(fx.posts(spark, sf), fx.fx_authors(spark, sf), SITE, F.current_timestamp())
+    SF.write_document(feed, "xml", path)
+    return spark.read.text(path).where(F.col("value").startswith("    <id>"))
+
+
 @query("s11_sitemap_file", f"SELECT '    <loc>' || loc || '</loc>' AS value FROM ({_SITEMAP_SQL})")
 def s11(spark, sf):
     path = new_path(spark, "sitemap")

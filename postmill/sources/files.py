@@ -70,6 +70,11 @@ def write_lines(lines: DataFrame, order: list[str | Column], path: str) -> None:
     lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("errorifexists").text(path)
 
 
+def write_document(document: DataFrame, column: str, path: str) -> None:
+    """Write the single row of a rendered document (a feed) as one text file."""
+    document.select(column).coalesce(1).write.mode("errorifexists").text(path)
+
+
 def append_requests(requests: DataFrame, path: str) -> None:
     """Append to the request log, a folder per day."""
     by_day = requests.withColumn("day", F.to_date("ts"))
