@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,26 +27,39 @@ def get_spark(app: str = "postmill", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
+    """This application's own folder below the one that ``spark.checkpoint.dir`` names.
 
-    Only a local session may fall back to a temporary folder; on a cluster a missing setting is an
-    error, because a machine-local folder would not survive the loss of that machine.
+    Where the setting is missing, the warehouse is used, which executors share as well. The folder
+    goes when the application ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
-    if folder:
-        return folder
-    if spark.sparkContext.master.startswith("local"):
-        folder = os.path.join(tempfile.gettempdir(), f"postmill-{os.getpid()}")
-        os.makedirs(folder, exist_ok=True)
-        return folder
-    raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+    folder = folder or spark.conf.get("spark.sql.warehouse.dir")
+    root = f"{folder.rstrip('/')}/postmill-{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_at_end, spark, root)
+    return root
+
+
+_ROOTS: set[str] = set()
+
+
+def _at_end(spark: SparkSession, root: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        remove(spark, root)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this application wrote."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the application's shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:
