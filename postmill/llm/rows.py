@@ -11,6 +11,17 @@ from postmill.operators.ordering import numbered
 from postmill.session import new_path, remove
 
 
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hands Python at most BATCH_ROWS rows at once, since rows here hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Scratch:
     """Intermediate tables in the shared folder, dropped as soon as they have served.
 
@@ -20,6 +31,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
+        bounded_batches(spark)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.paths[name] = new_path(self.spark, name)

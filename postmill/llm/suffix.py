@@ -34,7 +34,7 @@ from postmill.llm.rows import Scratch, keyed
 
 Q = 32  # bytes of a head; windows must be longer
 SHARE = 4000  # spans of one head sorted in one task
-BLOCK = 1 << 22  # bytes hashed or sorted at once
+BLOCK = 1 << 20  # bytes hashed or sorted at once
 _RUN_BITS = 12  # windows of a span (below 2^12) are packed behind its start
 
 
