@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postmill.llm import suffix
+from postmill.llm import langid, licenses, lmscore, maxscore, minhash, packing, spm, spotsigs, suffix, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +24,74 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+@query
+def op1_spotsigs(spark: SparkSession, sf: str) -> DataFrame:
+    return spotsigs.edited(documents(spark, sf))
+
+
+@query
+def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op3_circulant_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    groups = minhash.near_duplicates(documents(spark, sf), words=2, threshold=80)
+    return groups.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@query
+def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return spm.round_trip(documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op5_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf))
+
+
 @query
 def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix.remove_repeats(documents(spark, sf))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    part = F.crc32(F.col("doc_id").cast("string")) % 4
+    network = langid.learn(docs, part != 2)
+    found = langid.predict(docs.withColumn("held_out", F.coalesce(part == 2, F.lit(False))), network, ["doc_id", "held_out"])
+    return found
+
+
+@query
+def op8_maxscore(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return maxscore.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query
+def op9_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    good = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1")
+    return lmscore.score(documents(spark, sf), good)
+
+
+@query
+def op10_wavelet(spark: SparkSession, sf: str) -> DataFrame:
+    return wavelet.round_trip(spark, documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
+
+
+# The component, score and rank arithmetic is exact in whole numbers, so SQL gives the same rows.
+ORACLE["op8_maxscore"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s
+)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
+"""
