@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postmill.llm.rows import bounded_batches
+from postmill.llm.rows import bounded_batches, computed
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -168,10 +168,11 @@ def learn(docs: DataFrame, may_learn: Column) -> Network | None:
     return train(windows, np.searchsorted(languages, sample["lang"].to_numpy(str)), languages)
 
 
-def _predicted(network: Network | None, names: list[str]):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _predicted(network: Network | None):
+    def make():
         tables = network.tables() if network else None
-        for frame in frames:
+
+        def compute(frame: pd.DataFrame) -> pd.DataFrame:
             predictions, scores = [UNKNOWN] * len(frame), np.zeros(len(frame))
             held, size = [], 0
 
@@ -199,10 +200,11 @@ def _predicted(network: Network | None, names: list[str]):
                     held, size = [], 0
             if held:
                 judge(held)
-            out = frame[names].reset_index(drop=True)
-            yield out.assign(lang_pred=predictions, score=scores)
+            return pd.DataFrame({"lang_pred": predictions, "score": scores})
+
+        return compute
 
-    return run
+    return make
 
 
 def predict(docs: DataFrame, network: Network | None, columns: list[str]) -> DataFrame:
@@ -211,6 +213,4 @@ def predict(docs: DataFrame, network: Network | None, columns: list[str]) -> Dat
     Null texts and texts without a letter are UNKNOWN with score 0, and so is everything without a network.
     """
     bounded_batches(docs.sparkSession)
-    every = docs.select(*dict.fromkeys([*columns, "text"]))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in every.select(*columns).schema.fields)
-    return every.mapInPandas(_predicted(network, columns), f"{kinds}, lang_pred string, score double")
+    return computed(docs, columns, ["text"], _predicted(network), "lang_pred string, score double")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.hashing import U64, mix, range_hash
-from postmill.llm.rows import Scratch, bounded_batches
+from postmill.llm.rows import Scratch, bounded_batches, computed
 
 WORDS, PAIRS = 1 << 17, 1 << 20
 PARTS = (0.5, 0.4, 0.1)  # pair, word, uniform
@@ -85,21 +85,15 @@ class Model:
 
 
 def _scored(models):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        target, background = models.value
-        for frame in frames:
-            rows = []
-            for text in frame["text"]:
-                words, pairs = cells(text)
-                if len(words):
-                    a, b = float(target.losses(words, pairs).mean()), float(background.losses(words, pairs).mean())
-                    rows.append((len(words), a, b, a - b))
-                else:
-                    rows.append((0, None, None, None))
-            out = pd.DataFrame(rows, columns=["n_words", "target_loss", "background_loss", "score"])
-            yield pd.concat([frame[["doc_id"]].reset_index(drop=True), out], axis=1)
-
-    return run
+    def of(text) -> tuple:
+        words, pairs = cells(text)
+        if not len(words):
+            return 0, None, None, None
+        a, b = (float(m.losses(words, pairs).mean()) for m in models.value)
+        return len(words), a, b, a - b
+
+    names = ["n_words", "target_loss", "background_loss", "score"]
+    return lambda: lambda frame: pd.DataFrame([of(t) for t in frame["text"]], columns=names)
 
 
 def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -124,4 +118,5 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     scale = target[words].sum() / max(every[words].sum(), 1) or 1.0
     models = spark.sparkContext.broadcast((Model(target, 1.0), Model(every, float(scale))))
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return ids.mapInPandas(_scored(models), "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    kinds = "n_words long, target_loss double, background_loss double, score double"
+    return computed(ids, ["doc_id"], ["text"], _scored(models), kinds)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm.components import components
 from postmill.llm.hashing import U64, kept, mix, range_hash
-from postmill.llm.rows import Scratch, keyed
+from postmill.llm.rows import Scratch, computed, keyed
 
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
@@ -74,27 +74,21 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def _signed(words: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for text in frame["text"]:
-                found = shingles(text, words)
-                if not len(found):
-                    rows.append((0, 0, 0, 0, 0, None))
-                    continue
-                low = signature(found)
-                grid = mix(low.reshape(BANDS, ROWS).astype(U64))
-                band = np.arange(BANDS, dtype=U64)
-                for i in range(ROWS):
-                    band = mix(band * U64(0xD6E8FEB86659FD93) + grid[:, i])
-                sketch = np.packbits((mix(low.astype(U64) + U64(1 << 40)) & U64(1)).astype(np.uint8)).view(np.int64)
-                digest = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64)
-                rows.append((len(found), int(digest[0]), int(digest[1]), int(sketch[0]), int(sketch[1]), band.view(np.int64)))
-            names = ["n", "set1", "set2", "s1", "s2", "bands"]
-            out = pd.DataFrame(rows, columns=names)
-            yield pd.concat([frame[["uid", "doc_id"]].reset_index(drop=True), out], axis=1)
-
-    return run
+    def of(text) -> tuple:
+        found = shingles(text, words)
+        if not len(found):
+            return 0, 0, 0, 0, 0, None
+        low = signature(found)
+        grid = mix(low.reshape(BANDS, ROWS).astype(U64))
+        band = np.arange(BANDS, dtype=U64)
+        for i in range(ROWS):
+            band = mix(band * U64(0xD6E8FEB86659FD93) + grid[:, i])
+        sketch = np.packbits((mix(low.astype(U64) + U64(1 << 40)) & U64(1)).astype(np.uint8)).view(np.int64)
+        digest = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64)
+        return len(found), int(digest[0]), int(digest[1]), int(sketch[0]), int(sketch[1]), band.view(np.int64)
+
+    names = ["n", "set1", "set2", "s1", "s2", "bands"]
+    return lambda: lambda frame: pd.DataFrame([of(t) for t in frame["text"]], columns=names)
 
 
 def _sets(words: int):
@@ -136,10 +130,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, column
     scratch = Scratch(docs.sparkSession)
     names = list(dict.fromkeys([*columns, "doc_id", "text"]))
     texts = keyed(docs, names)
-    schema = "uid long, doc_id long, n long, set1 long, set2 long, s1 long, s2 long, bands array<bigint>"
-    signed = scratch.keep(
-        texts.select("uid", F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(_signed(words), schema), "signed"
-    )
+    long_id = texts.select("uid", F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    kinds = "n long, set1 long, set2 long, s1 long, s2 long, bands array<bigint>"
+    signed = scratch.keep(computed(long_id, ["uid", "doc_id"], ["text"], _signed(words), kinds), "signed")
     filled = signed.where("n > 0")
     classes = filled.groupBy("set1", "set2").agg(F.min("uid").alias("rep"))
     first = filled.join(classes, ["set1", "set2"]).where("uid = rep").select("rep", "n", "s1", "s2", "bands")

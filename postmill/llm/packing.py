@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.hashing import U64, mix
-from postmill.llm.rows import Scratch, keyed
+from postmill.llm.rows import Scratch, computed, keyed
 from postmill.llm.words import word_encoder
 
 K1, B = 1.2, 0.75  # usual BM25 constants
@@ -33,21 +33,21 @@ def crc(ids: np.ndarray) -> int:
 
 
 def _encoded(path: str, window: int, end_id: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         encoder = word_encoder(path)
         end = np.array([end_id], encoder.dtype).tobytes()
-        for frame in frames:
-            rows = []
-            for raw in encoder.encode(frame["text"].tolist()):
-                ids = np.frombuffer(raw + end, encoder.dtype)
-                whole = len(ids) // window
-                rest = ids[whole * window :]
-                near = int(mix(rest.astype(U64) + U64(1)).min() >> U64(1)) if len(rest) else 0
-                rows.append((len(ids), [crc(ids[i * window : (i + 1) * window]) for i in range(whole)], rest.tobytes(), near))
-            out = pd.DataFrame(rows, columns=["doc_tokens", "whole", "rest", "near"])
-            yield pd.concat([frame[["uid", "doc_id"]].reset_index(drop=True), out], axis=1)
 
-    return run
+        def of(raw: bytes) -> tuple:
+            ids = np.frombuffer(raw + end, encoder.dtype)
+            whole = len(ids) // window
+            rest = ids[whole * window :]
+            near = int(mix(rest.astype(U64) + U64(1)).min() >> U64(1)) if len(rest) else 0
+            return len(ids), [crc(ids[i * window : (i + 1) * window]) for i in range(whole)], rest.tobytes(), near
+
+        names = ["doc_tokens", "whole", "rest", "near"]
+        return lambda frame: pd.DataFrame([of(raw) for raw in encoder.encode(frame["text"].tolist())], columns=names)
+
+    return make
 
 
 def _frequencies(dtype: np.dtype, size: int):
@@ -162,7 +162,7 @@ def _packed(dtype: np.dtype, idf: np.ndarray, mean: float, window: int):
                 made += 1
             out = pd.DataFrame(rows, columns=["row", "start", "length", "ids_crc32", "sequence_id", "offset"])
             row = out.pop("row").to_numpy()
-            ids = frame[["doc_id", "doc_tokens"]].iloc[row].reset_index(drop=True)
+            ids = frame[["doc_id", "known", "doc_tokens"]].iloc[row].reset_index(drop=True)
             return pd.concat([ids, out], axis=1)
 
         held, size = [], 0
@@ -191,9 +191,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -
     scratch = Scratch(docs.sparkSession)
     encoder = word_encoder(tokenizer)
     texts = keyed(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    schema = "uid long, doc_id long, doc_tokens long, whole array<bigint>, rest binary, near long"
-    encoded = scratch.keep(texts.mapInPandas(_encoded(tokenizer, window, end_id), schema), "encoded")
-    rests = encoded.where(F.length("rest") > 0).select("uid", "doc_id", "doc_tokens", "rest", "near")
+    kinds = "doc_tokens long, whole array<bigint>, rest binary, near long"
+    encoded = scratch.keep(computed(texts, ["uid", "doc_id"], ["text"], _encoded(tokenizer, window, end_id), kinds), "encoded")
+    known = [F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id")]
+    rests = encoded.where(F.length("rest") > 0).select("uid", *known, "doc_tokens", "rest", "near")
     counts = rests.select("rest").mapInPandas(_frequencies(encoder.dtype, encoder.size), "token long, n long")
     # at most one row per token of the vocabulary
     frequency = {r["token"]: r["n"] for r in counts.groupBy("token").agg(F.sum("n").alias("n")).collect()}
@@ -202,8 +203,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -
     df[list(frequency)] = list(frequency.values())
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
     dealt = rests.repartitionByRange("near", "uid").sortWithinPartitions("near", "uid")
-    columns = "doc_id long, doc_tokens long, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    columns = "doc_id long, known boolean, doc_tokens long, start long, length long, ids_crc32 long, sequence_id long, offset long"
     packed = dealt.mapInPandas(_packed(encoder.dtype, idf, max(tokens / max(n, 1), 1.0), window), columns)
+    packed = packed.withColumn("doc_id", F.expr("if(known, doc_id, null)")).drop("known")
     whole = encoded.select("doc_id", "doc_tokens", F.posexplode("whole").alias("i", "ids_crc32")).select(
         "doc_id",
         "doc_tokens",

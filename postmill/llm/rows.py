@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import gc
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from postmill.operators.ordering import numbered
 from postmill.session import new_path, remove
@@ -51,6 +57,29 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def computed(df: DataFrame, keep: list[str], needs: list[str], make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], kinds: str) -> DataFrame:
+    """`keep` of each row, untouched, then the columns `kinds` that a function computes from `needs`.
+
+    `make` is called once per task and returns the function, which gets a frame and returns as many rows.
+    """
+    new = StructType.fromDDL(kinds)
+    own = df.select(*keep).schema
+    n, types = len(keep), to_arrow_schema(new)
+    wanted = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), *(F.col(c).alias(f"n{i}") for i, c in enumerate(needs)))
+    names = [f.name for f in own.fields] + [f.name for f in new.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            frame = pa.Table.from_batches([batch]).select(list(range(n, n + len(needs)))).rename_columns(needs).to_pandas()
+            found = compute(frame)
+            columns = [batch.column(i) for i in range(n)]
+            columns += [pa.Array.from_pandas(found[f.name], type=f.type) for f in types]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return wanted.mapInArrow(run, StructType([*own.fields, *new.fields]))
+
+
 def keyed(docs: DataFrame, columns: list[str]) -> DataFrame:
     """`columns` of each row, and `uid`, a number that no other row has and that ascends with doc_id.
 

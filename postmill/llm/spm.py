@@ -13,13 +13,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from postmill.llm.hashing import kept
-from postmill.llm.rows import bounded_batches
+from postmill.llm.rows import bounded_batches, computed
 
 SPACE = "▁"
 HELD = 500_000  # words kept by a worker process before it starts anew
@@ -177,36 +176,36 @@ def pieces(path: str) -> Pieces:
 
 
 def _digests(path: str):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         model = pieces(path)
-        for frame in frames:
-            rows = [model.digest(t if isinstance(t, str) else None) for t in frame["text"]]
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            yield pd.concat([frame[["doc_id"]].reset_index(drop=True), out], axis=1)
+        names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+        return lambda frame: pd.DataFrame([model.digest(t) for t in frame["text"]], columns=names)
 
-    return run
+    return make
 
 
 def _coded(path: str):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         model = pieces(path)
-        for frame in frames:
-            ids = [model.encode(t if isinstance(t, str) else None) for t in frame["text"]]
-            back = [model.decode(i) for i in ids]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": ids, "decoded": back})
 
-    return run
+        def compute(frame: pd.DataFrame) -> pd.DataFrame:
+            ids = [model.encode(t) for t in frame["text"]]
+            return pd.DataFrame({"ids": ids, "decoded": [model.decode(i) for i in ids]})
+
+        return compute
+
+    return make
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, ids and the text decoded from them, row by row. Null texts count as empty: no ids."""
     bounded_batches(docs.sparkSession)
     ids = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text")
-    return ids.mapInPandas(_coded(model), "doc_id long, ids array<int>, decoded string")
+    return computed(ids, ["doc_id"], ["text"], _coded(model), "ids array<int>, decoded string")
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256, row by row, without shipping the ids."""
     bounded_batches(docs.sparkSession)
     ids = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text")
-    return ids.mapInPandas(_digests(model), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return computed(ids, ["doc_id"], ["text"], _digests(model), "n_tokens long, ids_sha256 string, decoded_sha256 string")

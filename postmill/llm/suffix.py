@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.hashing import U64, mix, range_hash
-from postmill.llm.rows import Scratch, keyed
+from postmill.llm.rows import Scratch, computed, keyed
 
 Q = 32  # bytes of a head; windows must be longer
 SHARE = 4000  # spans of one head sorted in one task
@@ -280,31 +280,24 @@ def _whole_characters(raw: bytes, lo: int, hi: int) -> tuple[int, int]:
 
 
 def _kept(length: int, characters: bool):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for text, starts, counts in zip(frame["text"], frame["starts"], frame["counts"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
-                spans_ = []
-                if starts is not None and len(starts):
-                    spans_ = list(zip(*_runs(np.asarray(starts), np.asarray(counts), length), strict=True))
-                if characters:
-                    spans_ = [(a, b) for a, b in (_whole_characters(raw, *s) for s in spans_) if a < b]
-                left, at = [], 0
-                for lo, hi in spans_:
-                    left.append(raw[at:lo])
-                    at = hi
-                left.append(raw[at:])
-                rest = b"".join(left)
-                digest = hashlib.sha256(rest).hexdigest()
-                out.append((len(raw), len(raw) - len(rest), len(spans_), digest, rest.decode("utf-8", "replace") if characters else None))
-            done = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
-            if not characters:
-                done = done.drop(columns="kept_text")
-            rest_of = frame.drop(columns=["text", "starts", "counts"]).reset_index(drop=True)
-            yield pd.concat([rest_of, done], axis=1)
-
-    return run
+    def of(text, starts, counts) -> tuple:
+        raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+        cuts = []
+        if starts is not None and len(starts):
+            cuts = list(zip(*_runs(np.asarray(starts), np.asarray(counts), length), strict=True))
+        if characters:
+            cuts = [(a, b) for a, b in (_whole_characters(raw, *s) for s in cuts) if a < b]
+        left, at = [], 0
+        for lo, hi in cuts:
+            left.append(raw[at:lo])
+            at = hi
+        left.append(raw[at:])
+        rest = b"".join(left)
+        digest = hashlib.sha256(rest).hexdigest()
+        return len(raw), len(raw) - len(rest), len(cuts), digest, rest.decode("utf-8", "replace") if characters else None
+
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    return lambda: lambda f: pd.DataFrame([of(*r) for r in zip(f["text"], f["starts"], f["counts"], strict=True)], columns=names)
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -317,8 +310,6 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
     texts = keyed(docs, list(dict.fromkeys([*columns, "text"])))
     found = repeated_windows(texts.select("uid", "text"), scratch, length)
     runs = found.groupBy("uid").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
-    joined = texts.join(runs, "uid", "left").select(*columns, "text", "starts", "counts")
-    kept = [f for f in joined.schema.fields if f.name in columns]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    schema += ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if keep_text else "")
-    return joined.mapInPandas(_kept(length, keep_text), schema)
+    joined = texts.join(runs, "uid", "left")
+    kinds = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if keep_text else "")
+    return computed(joined, list(columns), ["text", "starts", "counts"], _kept(length, keep_text), kinds)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postmill.llm.rows import Scratch, keyed
+from postmill.llm.rows import Scratch, computed, keyed
 from postmill.llm.words import word_encoder
 from postmill.session import new_path
 
@@ -158,14 +158,12 @@ class WaveletFile:
 
 
 def _encoded(path: str, end_id: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         encoder = word_encoder(path)
         end = np.array([end_id], encoder.dtype).tobytes()
-        for frame in frames:
-            ids = [x + end for x in encoder.encode(frame["text"].tolist())]
-            yield pd.DataFrame({"uid": frame["uid"], "doc_id": frame["doc_id"], "ids": ids})
+        return lambda frame: pd.DataFrame({"ids": [x + end for x in encoder.encode(frame["text"].tolist())]})
 
-    return run
+    return make
 
 
 def _file_system(uri: str):
@@ -184,9 +182,8 @@ def _written(folder: str, width: int, bits: int):
             nonlocal made
             frame = pd.concat(held, ignore_index=True)
             tokens = np.frombuffer(b"".join(frame["ids"]), f"<u{width}")
-            known = frame["doc_id"].notna().to_numpy()
-            ids = frame["doc_id"].fillna(0).astype("int64").to_numpy()
-            raw = pack(tokens, frame["ids"].str.len().to_numpy() // width, ids, known, bits)
+            lengths = frame["ids"].str.len().to_numpy() // width
+            raw = pack(tokens, lengths, frame["doc_id"].to_numpy(), frame["known"].to_numpy(), bits)
             name = f"{part:08d}-{made:06d}.wm"
             made += 1
             part_file = f"{root}/{name}.{uuid.uuid4().hex}"
@@ -216,7 +213,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1)
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     encoder = word_encoder(tokenizer)
     texts = keyed(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    ids = scratch.keep(texts.mapInPandas(_encoded(tokenizer, end_id), "uid long, doc_id long, ids binary"), "ids")
+    texts = texts.select("uid", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "text")
+    ids = scratch.keep(computed(texts, ["uid", "doc_id", "known"], ["text"], _encoded(tokenizer, end_id), "ids binary"), "ids")
     ordered = ids.repartitionByRange("uid").sortWithinPartitions("uid")
     bits = max(1, max(encoder.size - 1, end_id).bit_length())
     run = _written(folder, encoder.dtype.itemsize, bits)
