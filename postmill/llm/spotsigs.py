@@ -125,7 +125,7 @@ def in_order(docs: DataFrame) -> tuple[DataFrame, WindowSpec]:
     total = sizes.agg(F.sum("n")).first()[0] or 0
     shards = min(MOST_SHARDS, max(1, -(-total // SHARD_BYTES)))
     cuts = docs.agg(F.percentile_approx("uid", [i / shards for i in range(1, shards)] or [0.5], 10 * shards)).first()[0] or []
-    splits = [-math.inf, *sorted({float(c) for c in cuts}), math.inf]
+    splits = [-math.inf, *sorted({float(c) for c in cuts} or {0.0}), math.inf]
     keys = docs.select("uid", F.col("uid").cast("double").alias("_at"))
     cut = Bucketizer(splits=splits, inputCol="_at", outputCol="shard")
     first = cut.transform(keys).groupBy("shard").agg(F.min("uid").alias("uid"))
