@@ -6,6 +6,7 @@ A posting carries the length of its document, so that scoring needs no join with
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,15 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postmill.functions.text import WORD, replace_matches, tokens
-from postmill.session import durable
+from postmill.functions.text import WORD, format_text, replace_matches, tokens
 
 # fixed values: parameters of the ranking formula
 K1 = 1.2
 B = 0.75
 TERM_BUCKETS = 64
 
-POSTING_COLUMNS = ["term", "id", "tf", "dl", "positions"]
+POSTING_COLUMNS = ["term", "id", "tf", "dl", "created_s", "positions"]
 
 
 # ---- query clauses -------------------------------------------------------------------------------
@@ -37,13 +37,39 @@ class Clause:
     boost: float = 1.0
 
 
+@dataclass(frozen=True)
+class Group:
+    """Clauses and groups of them: all of `must`, else any of `should`, and none of `must_not`."""
+
+    must: tuple[Clause | Group, ...] = ()
+    should: tuple[Clause | Group, ...] = ()
+    must_not: tuple[Clause | Group, ...] = ()
+
+
+def all_of(*parts: Clause | Group) -> Group:
+    return Group(must=parts)
+
+
+def any_of(*parts: Clause | Group) -> Group:
+    return Group(should=parts)
+
+
+def query_words(text: str) -> list[str]:
+    """The words of a text as the index has them: lower-case runs of letters, marks, digits and underscores."""
+    kept = (c if c == "_" or unicodedata.category(c)[0] in "LMN" else " " for c in text.lower())
+    return "".join(kept).split()
+
+
 def term(word: str, boost: float = 1.0) -> Clause:
-    word = word.lower()
-    return Clause(word, lambda t: t == word, (word,), boost)
+    """One word; text that the index splits into several is a phrase."""
+    return phrase(word, boost)
 
 
 def phrase(text: str, boost: float = 1.0) -> Clause:
-    words = tuple(w for w in re.split(r"\W+", text.lower()) if w)
+    """Words next to each other. A phrase without words matches nothing."""
+    words = tuple(query_words(text))
+    if not words:
+        return Clause("", lambda t: F.lit(False), (), boost)
     return Clause(" ".join(words), lambda t: t.isin(*words), words, boost)
 
 
@@ -70,7 +96,7 @@ def term_range(first: str, last: str, boost: float = 1.0) -> Clause:
 
 def words_clause(text: str) -> list[Clause]:
     """All words of a plain query; joined by AND when passed as `must`."""
-    return [term(w) for w in dict.fromkeys(re.findall(r"\w+", text.lower()))]
+    return [term(w) for w in dict.fromkeys(query_words(text))]
 
 
 # ---- index ---------------------------------------------------------------------------------------
@@ -79,34 +105,29 @@ def words_clause(text: str) -> list[Clause]:
 @dataclass(frozen=True)
 class Index:
     docs: DataFrame  # id, created_s, dl
-    postings: DataFrame  # term, id, tf, dl, positions
+    postings: DataFrame  # term, id, tf, dl, created_s, positions
     buckets: int | None = None  # of a stored index
+    terms: DataFrame | None = None  # bucket, term, df, cf: the dictionary of a stored index
+    totals: DataFrame | None = None  # n, avg_dl: one row, of a stored index
 
 
-def _grouped_terms(keep: Callable[[Column], Column] | None) -> Callable[[Column], Column]:
-    """Token array -> array of `struct<term, tf, positions>`, one per distinct term.
+def _sorted_words(words: Column) -> Column:
+    """Tokens with their positions, sorted, so that equal ones are neighbours."""
+    return F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("pos"))))
 
-    Tokens are sorted with their positions and cut where the term changes: all inside the row, so
-    building the index needs no shuffle.
-    """
-
-    def group(words: Column) -> Column:
-        placed = F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
-        if keep is not None:
-            placed = F.filter(placed, lambda x: keep(x["term"]))
-        return F.sort_array(placed)
-
-    return group
 
+def _with_terms(posts: DataFrame) -> DataFrame:
+    """Each post with an array of `struct<term, tf, positions>`, one per distinct term.
 
-def _with_terms(posts: DataFrame, keep: Callable[[Column], Column] | None) -> DataFrame:
+    The sorted tokens are cut where the term changes: all inside the row, so building the index needs no shuffle.
+    """
     words = posts.select(
         "id",
         F.unix_seconds("created").alias("created_s"),
         tokens(F.col("body")).alias("words"),
     )
     placed = words.select(
-        "id", "created_s", F.size("words").cast("bigint").alias("dl"), _grouped_terms(keep)(F.col("words")).alias("s")
+        "id", "created_s", F.size("words").cast("bigint").alias("dl"), _sorted_words(F.col("words")).alias("s")
     )
     starts = placed.withColumn(
         "starts",
@@ -133,13 +154,13 @@ def _with_terms(posts: DataFrame, keep: Callable[[Column], Column] | None) -> Da
 def _posting_rows(rows: DataFrame) -> DataFrame:
     # explode_outer, because for a plain explode the optimizer infers a non-empty filter and pushes
     # it below the row-local steps, repeating the whole tokenisation once more per reference to it
-    each = rows.select("id", "dl", F.explode_outer("terms").alias("t")).where(F.col("t").isNotNull())
-    return each.select("t.term", "id", "t.tf", "dl", "t.positions")
+    each = rows.select("id", "dl", "created_s", F.explode_outer("terms").alias("t")).where(F.col("t").isNotNull())
+    return each.select("t.term", "id", "t.tf", "dl", "created_s", "t.positions")
 
 
 def build_index(posts: DataFrame) -> Index:
     """Index of all posts, deleted ones included. Needs `id, created, body`."""
-    rows = _with_terms(posts, None)
+    rows = _with_terms(posts)
     docs = posts.select(
         "id", F.unix_seconds("created").alias("created_s"), F.size(tokens(F.col("body"))).cast("bigint").alias("dl")
     )
@@ -147,51 +168,38 @@ def build_index(posts: DataFrame) -> Index:
     return Index(docs, postings)
 
 
-def index_for(posts: DataFrame, clauses: list[Clause]) -> Index:
-    """Index holding only the postings the clauses can match, for searching without a stored index.
-
-    The corpus is tokenised once; what remains (one slim row per post) is stored, since
-    statistics, matches and totals are all derived from it.
-    """
-
-    def keep(t: Column) -> Column:
-        test = clauses[0].matches(t)
-        for clause in clauses[1:]:
-            test = test | clause.matches(t)
-        return test
-
-    rows = durable(_with_terms(posts, keep))
-    postings = _posting_rows(rows)
-    return Index(rows.select("id", "created_s", "dl"), postings)
-
-
 def term_bucket(t: Column, buckets: int = TERM_BUCKETS) -> Column:
     return F.pmod(F.hash(t), F.lit(buckets))
 
 
-def write_index(index: Index, path: str, buckets: int = TERM_BUCKETS, files_per_bucket: int = 1) -> None:
-    """Store the index. Postings are partitioned by term bucket and ordered by term and id.
+def write_index(index: Index, path: str, buckets: int = TERM_BUCKETS) -> None:
+    """Store the index: postings by term bucket, ordered by term and id, and a dictionary of its terms.
 
     Range partitioning includes the post id, so a term found in most posts is spread over many
-    tasks and files instead of landing in one.
+    tasks and files instead of landing in one; how many there are follows the size of the data.
     """
-    postings = index.postings.withColumn("bucket", term_bucket(F.col("term"), buckets))
-    parts = buckets * files_per_bucket
+    bucketed = index.postings.withColumn("bucket", term_bucket(F.col("term"), buckets))
     (
-        postings.repartitionByRange(parts, "bucket", "term", "id")
+        bucketed.repartitionByRange("bucket", "term", "id")
         .sortWithinPartitions("bucket", "term", "id")
         .write.partitionBy("bucket")
         .mode("errorifexists")
         .parquet(f"{path}/postings")
     )
-    index.docs.write.mode("errorifexists").parquet(f"{path}/docs")
     spark = index.docs.sparkSession
-    spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("errorifexists").parquet(f"{path}/meta")
+    stored = spark.read.parquet(f"{path}/postings")
+    dictionary = stored.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    dictionary.sortWithinPartitions("term").write.mode("errorifexists").parquet(f"{path}/terms")
+    index.docs.write.mode("errorifexists").parquet(f"{path}/docs")
+    totals = spark.read.parquet(f"{path}/docs").agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
+    totals.withColumn("buckets", F.lit(buckets)).write.mode("errorifexists").parquet(f"{path}/meta")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    buckets = spark.read.parquet(f"{path}/meta").first()["buckets"]
-    return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"), buckets)
+    meta = spark.read.parquet(f"{path}/meta")
+    buckets = meta.first()["buckets"]
+    terms = spark.read.parquet(f"{path}/terms")
+    return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"), buckets, terms, meta.select("n", "avg_dl"))
 
 
 def upsert_index(index: Index, changed_posts: DataFrame) -> Index:
@@ -233,41 +241,57 @@ def _phrase_frequency(columns: list[Column]) -> Column:
     return F.size(starts).cast("bigint")
 
 
+def _leaves(part: Clause | Group) -> list[Clause]:
+    if isinstance(part, Clause):
+        return [part]
+    return [c for p in (*part.must, *part.should, *part.must_not) for c in _leaves(p)]
+
+
+def _positive(part: Clause | Group) -> bool:
+    """Whether a match needs a posting of one of its clauses."""
+    return isinstance(part, Clause) or any(map(_positive, part.must)) or (not part.must and bool(part.should) and all(map(_positive, part.should)))
+
+
+def _postings_of(index: Index, words: list[str], sets: list[Clause]) -> DataFrame:
+    """Postings of exact words and of terms that set clauses accept."""
+    t = F.col("term")
+    test = t.isin(*words) if words else F.lit(False)
+    for c in sets:
+        test = test | c.matches(t)
+    if index.buckets and not sets:
+        # the bucket numbers fold to literals, which prune the stored index to the files of the words
+        return index.postings.where(F.col("bucket").isin(*[term_bucket(F.lit(w), index.buckets) for w in words])).where(test)
+    if index.terms is None:
+        return index.postings.where(test)
+    # the dictionary tells which terms are meant; only their postings are read on
+    return index.postings.join(index.terms.where(test).select("bucket", "term"), ["bucket", "term"], "left_semi")
+
+
 def matches(
     index: Index,
-    must: list[Clause] = (),
-    should: list[Clause] = (),
-    must_not: list[Clause] = (),
+    must: list[Clause | Group] = (),
+    should: list[Clause | Group] = (),
+    must_not: list[Clause | Group] = (),
     since_s: int | None = None,
 ) -> DataFrame:
-    """Posts matching the clauses, as `id, score`.
+    """Posts matching the clauses, as `id, score`; parts may be groups of clauses.
 
     One aggregation by post over the postings of the query's terms decides everything: a slot per
     exact word, a flag per set of terms (prefix, wildcard, fuzzy, range). Words and phrases score
-    by BM25, sets of terms score their boost.
+    by BM25, sets of terms score their boost. Parts that must not match score nothing.
     """
-    positive = [*must, *should]
-    if not positive:
+    query = Group(tuple(must), tuple(should), tuple(must_not))
+    if not _positive(query):
         raise ValueError("a query needs a clause that can match")
-    clauses = [*positive, *must_not]
+    clauses = list(dict.fromkeys(_leaves(query)))
     t = F.col("term")
     words = list(dict.fromkeys(w for c in clauses for w in c.words))
     in_phrase = {w for c in clauses if len(c.words) > 1 for w in c.words}
     word_slot = {w: i for i, w in enumerate(words)}
     sets = [c for c in clauses if not c.words]
-
-    wanted = [t.isin(*words)] if words else []
-    wanted += [c.matches(t) for c in sets]
-    test = wanted[0]
-    for w in wanted[1:]:
-        test = test | w
-    exact = index.postings
-    if words and index.buckets:
-        # literal bucket numbers prune the stored index to the files of the query's words
-        spark = index.postings.sparkSession
-        row = spark.range(1).select(F.array(*[term_bucket(F.lit(w), index.buckets) for w in words])).first()
-        exact = exact.where(F.col("bucket").isin(*sorted(set(row[0]))))
-    hits = (index.postings if sets else exact).where(test)
+    hits = _postings_of(index, words, sets)
+    if since_s is not None:
+        hits = hits.where(F.col("created_s") >= since_s)
 
     aggs = [F.max("dl").alias("dl")]
     for w, i in word_slot.items():
@@ -278,11 +302,15 @@ def matches(
         aggs.append(F.max(c.matches(t)).alias(f"set{i}"))
     slots = hits.groupBy("id").agg(*aggs)
 
-    stats = index.docs.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avg_dl")).alias("s")).scalar()
-    slots = slots.withColumn("stats", stats)
+    totals = index.docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl")) if index.totals is None else index.totals
+    slots = slots.withColumn("stats", totals.agg(F.struct(F.max("n").alias("n"), F.max("avg_dl").alias("avg_dl")).alias("s")).scalar())
     if words:
-        df_row = exact.where(t.isin(*words)).agg(
-            F.struct(*[F.sum(F.when(t == w, 1).otherwise(0)).alias(f"df{i}") for w, i in word_slot.items()]).alias("d")
+        if index.terms is None:
+            counted = index.postings.where(t.isin(*words)).select("term", F.lit(1).alias("df"))
+        else:
+            counted = index.terms.where(t.isin(*words)).select("term", "df")
+        df_row = counted.agg(
+            F.struct(*[F.sum(F.when(t == w, F.col("df")).otherwise(0)).alias(f"df{i}") for w, i in word_slot.items()]).alias("d")
         )
         slots = slots.withColumn("dfs", df_row.scalar())
 
@@ -300,35 +328,41 @@ def matches(
         if c.words:
             prepared = prepared.withColumn(f"f{i}", frequency(c))
             f = F.col(f"f{i}")
-            flags[i] = f > 0
+            flags[c] = f > 0
             weight = idf(c.words[0])
             for w in c.words[1:]:
                 weight = weight + idf(w)
             norm = F.lit(K1) * (1 - B + B * F.col("dl") / F.col("stats.avg_dl"))
-            scores[i] = F.lit(c.boost) * weight * f / (f + norm)
+            scores[c] = F.lit(c.boost) * weight * f / (f + norm)
         else:
-            flags[i] = F.col(f"set{sets.index(c)}")
-            scores[i] = F.when(flags[i], F.lit(c.boost)).otherwise(0.0)
-
-    n_must, n_positive = len(must), len(positive)
-    condition = F.lit(True)
-    for i in range(n_must):
-        condition = condition & flags[i]
-    if not n_must:
-        any_should = F.lit(False)
-        for i in range(n_must, n_positive):
-            any_should = any_should | flags[i]
-        condition = condition & any_should
-    for i in range(n_positive, len(clauses)):
-        condition = condition & ~flags[i]
-    score = scores[0]
-    for i in range(1, n_positive):
-        score = score + scores[i]
-    found = prepared.where(condition).select("id", score.alias("score"))
-    if since_s is not None:
-        recent = index.docs.where(F.col("created_s") >= since_s).select("id")
-        found = found.join(recent, "id", "left_semi")
-    return found
+            flags[c] = F.col(f"set{sets.index(c)}")
+            scores[c] = F.when(flags[c], F.lit(c.boost)).otherwise(0.0)
+
+    def flag(part: Clause | Group) -> Column:
+        if isinstance(part, Clause):
+            return flags[part]
+        test = F.lit(True)
+        for p in part.must:
+            test = test & flag(p)
+        if part.should and not part.must:
+            some = F.lit(False)
+            for p in part.should:
+                some = some | flag(p)
+            test = test & some
+        for p in part.must_not:
+            test = test & ~flag(p)
+        return test
+
+    def score(part: Clause | Group) -> Column:
+        if isinstance(part, Clause):
+            return scores[part]
+        total = F.lit(0.0)
+        for p in (*part.must, *part.should):
+            # a group counts only where it matches
+            total = total + (score(p) if isinstance(p, Clause) else F.when(flag(p), score(p)).otherwise(0.0))
+        return total
+
+    return prepared.where(flag(query)).select("id", score(query).alias("score"))
 
 
 def ranked(found: DataFrame, limit: int, offset: int = 0) -> DataFrame:
@@ -339,6 +373,22 @@ def ranked(found: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return page.withColumn("rank", rank.cast("bigint"))
 
 
+def result_page(index: Index, posts: DataFrame, q: str, page: int, size: int) -> DataFrame:
+    """What the search page shows: `rank, total, id, html`, for all words of a text as typed.
+
+    A text without words finds nothing.
+    """
+    clauses = words_clause("".join(c for c in q if c not in "!*?"))
+    if not clauses:
+        nothing = posts.limit(0)
+        return nothing.select(F.lit(0).cast("bigint").alias("rank"), F.lit(0).cast("bigint").alias("total"), "id", F.col("body").alias("html"))
+    found = search(index, must=clauses, limit=size, offset=size * (page - 1))
+    body = highlight(F.col("body"), clauses)
+    text = F.concat(F.lit('<span class="post_author">'), F.col("author"), F.lit(": </span>"), body)
+    hits = found.join(posts, "id").withColumn("text", text)
+    return hits.select("rank", "total", "id", format_text(F.col("text")).alias("html"))
+
+
 def search(index: Index, must=(), should=(), must_not=(), limit: int = 10, offset: int = 0) -> DataFrame:
     """`rank, id, score, total`: the best matches and the exact number of all."""
     found = matches(index, must, should, must_not)

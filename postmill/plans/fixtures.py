@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from postmill.functions.mime import MIME_TYPES
 from postmill.schema import CROSSPOST
-from postmill.session import spread
 
 _POSTS = """
 SELECT p.id, p.old_id, p.author, p.body, p.created, p.updated, p.deleted,
@@ -189,11 +188,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def fx_posts(spark: SparkSession, sf: str, text_work: bool = False) -> DataFrame:
-    """Flat posts; `text_work` spreads a small scan over all cores for CPU-heavy rules."""
+def fx_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """Flat posts."""
     documents = table(spark, sf, "documents")
-    if text_work:
-        documents = spread(documents, "doc_id")
     sql = _POSTS.format(
         created=f"timestamp_seconds({_SECONDS})",
         updated=f"timestamp_seconds({_LATER})",
@@ -254,7 +251,7 @@ def fx_legacy(spark: SparkSession, sf: str) -> DataFrame:
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
     """`fx_posts` with the media as nested structs (no crossposts)."""
-    flat = fx_posts(spark, sf, text_work=True)
+    flat = fx_posts(spark, sf)
 
     def media(url: str, prefix: str, factor: int):
         c = F.col(url)

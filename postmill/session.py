@@ -72,14 +72,3 @@ def durable(df: DataFrame) -> DataFrame:
     path = new_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a table read from few splits enough partitions for CPU-heavy text work.
-
-    A table scan with at least as many splits as the cluster has cores is left as it is, so large
-    inputs are never shuffled by this. `key` should be unique. Pass a plain scan: its splits are
-    known without running anything.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
