@@ -205,9 +205,19 @@ def upsert(facts: DataFrame, rows: DataFrame, identity: str, values: dict[str, C
     return fact_rows(found, "e", {identity: F.col(column), **values}, tx)
 
 
-def retract_attribute(entities: DataFrame, attr: str, tx: int) -> DataFrame:
-    """Tombstones for one attribute of the entities `e`; works for single-valued attributes."""
+def retract_attribute(facts: DataFrame, entities: DataFrame, attr: str, tx: int) -> DataFrame:
+    """Tombstones for one attribute of the entities `e`.
+
+    A many-valued attribute gets one for each value that the stored facts hold at present.
+    """
     ordinal = F.col("ord") if "ord" in entities.columns else F.lit(0)
+    if attr in MANY:
+        log = facts.where(F.col("a") == attr).join(entities.select("e").distinct(), "e", "left_semi")
+        last = entities.groupBy("e").agg(F.max(ordinal).alias("ord"))
+        values = [F.col(c) for c in VALUE_COLUMNS]
+        return current(log).join(last, "e").select(
+            "e", "a", *values, F.lit(tx).cast("bigint").alias("tx"), F.col("ord").cast("bigint").alias("ord"), F.lit("retract").alias("op")
+        )
     nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in FACT.fields if f.name in VALUE_COLUMNS]
     return entities.select(
         "e", F.lit(attr).alias("a"), *nothing, F.lit(tx).cast("bigint").alias("tx"), ordinal.cast("bigint").alias("ord"), F.lit("retract").alias("op")

@@ -101,13 +101,21 @@ FROM (SELECT DISTINCT author FROM {fx_posts}) a WHERE {number} % 10 <> 7
 _NUMBER = "cast(regexp_replace(author, '[^0-9]', '{all}) AS bigint)"
 
 _EDITS = """
-SELECT p.id AS post_id, n.k AS seq, concat(p.body, ' v', cast(n.k AS string)) AS body,
-  CASE WHEN (p.id + n.k) % 4 = 0 THEN NULL
-       WHEN (p.id + n.k) % 4 = 1 THEN p.media_url
-       ELSE concat('uploads/', cast(p.id AS string), '_', cast(n.k AS string), '.png') END AS media_url,
-  CASE WHEN (p.id + n.k) % 4 = 2 THEN concat('uploads/', cast(p.id AS string), '_', cast(n.k AS string), '_full.png')
-       WHEN (p.id + n.k) % 4 = 1 THEN p.full_url END AS full_url
-FROM {fx_posts} p JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) n ON n.k <= p.id % 4
+SELECT *, CASE WHEN media_url LIKE 'uploads/%' THEN 'image/png' END AS media_content_type,
+  CASE WHEN media_url LIKE 'uploads/%' THEN 300 + (post_id * 7 + seq) % 900 END AS media_width,
+  CASE WHEN media_url LIKE 'uploads/%' THEN 200 + (post_id * 11 + seq) % 700 END AS media_height,
+  CASE WHEN full_url LIKE 'uploads/%' THEN 'image/png' END AS full_content_type,
+  CASE WHEN full_url LIKE 'uploads/%' THEN 1300 + (post_id * 7 + seq) % 900 END AS full_width,
+  CASE WHEN full_url LIKE 'uploads/%' THEN 1200 + (post_id * 11 + seq) % 700 END AS full_height
+FROM (
+  SELECT p.id AS post_id, n.k AS seq, concat(p.body, ' v', cast(n.k AS string)) AS body,
+    CASE WHEN p.id % 8 = 7 AND n.k = 2 OR p.id % 8 <> 7 AND (p.id + n.k) % 4 = 0 THEN NULL
+         WHEN p.id % 8 <> 7 AND (p.id + n.k) % 4 = 1 THEN p.media_url
+         ELSE concat('uploads/', cast(p.id AS string), '_', cast(n.k AS string), '.png') END AS media_url,
+    CASE WHEN (p.id + n.k) % 4 = 2 THEN concat('uploads/', cast(p.id AS string), '_', cast(n.k AS string), '_full.png')
+         WHEN (p.id + n.k) % 4 = 1 THEN p.full_url END AS full_url
+  FROM {fx_posts} p JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) n ON n.k <= p.id % 4
+) e
 """
 
 _STATUS = """

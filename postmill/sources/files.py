@@ -22,12 +22,21 @@ LEGACY = T.StructType(
         T.StructField("reposts", T.ArrayType(REPOST)),
     ]
 )
+_MEDIA = T.StructType(
+    [
+        T.StructField("media/url", T.StringType()),
+        T.StructField("media/content-type", T.StringType()),
+        T.StructField("media/width", T.LongType()),
+        T.StructField("media/height", T.LongType()),
+    ]
+)
 EDIT = T.StructType(
     [
         T.StructField("post/body", T.StringType()),
         T.StructField("post/author", T.StringType()),
-        T.StructField("post/media", T.StructType([T.StructField("media/url", T.StringType())])),
-        T.StructField("post/media-full", T.StructType([T.StructField("media/url", T.StringType())])),
+        T.StructField("post/media", _MEDIA),
+        T.StructField("post/media-full", _MEDIA),
+        T.StructField("_bad", T.StringType()),
     ]
 )
 
@@ -52,17 +61,23 @@ def file_texts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def parse_edits(requests: DataFrame, column: str = "json") -> DataFrame:
-    """Edit requests from JSON text, flat: `body, author, media_url, full_url` next to the other columns."""
+    """Edit requests from JSON text, flat, next to the other columns: `body`, `author`, and url, content type, width and
+    height of `media` and `full`. `bad` holds the text of a request that is no such JSON (or null) and must
+    not be applied; `good_edits` drops these."""
     others = [c for c in requests.columns if c != column]
-    parsed = requests.withColumn("_r", F.from_json(column, EDIT))
+    parsed = requests.withColumn("_r", F.from_json(column, EDIT, {"columnNameOfCorruptRecord": "_bad"}))
     r = F.col("_r")
-    return parsed.select(
-        *others,
-        r["post/body"].alias("body"),
-        r["post/author"].alias("author"),
-        r["post/media"]["media/url"].alias("media_url"),
-        r["post/media-full"]["media/url"].alias("full_url"),
-    )
+    media = [
+        r[field][f"media/{attr}"].alias(f"{role}_{name}")
+        for role, field in (("media", "post/media"), ("full", "post/media-full"))
+        for name, attr in (("url", "url"), ("content_type", "content-type"), ("width", "width"), ("height", "height"))
+    ]
+    bad = F.when(F.col(column).isNull() | r.isNull(), F.coalesce(column, F.lit(""))).otherwise(r["_bad"])
+    return parsed.select(*others, r["post/body"].alias("body"), r["post/author"].alias("author"), *media, bad.alias("bad"))
+
+
+def good_edits(parsed: DataFrame) -> DataFrame:
+    return parsed.where("bad IS NULL").drop("bad")
 
 
 def write_lines(lines: DataFrame, order: list[str | Column], path: str) -> None:
