@@ -47,7 +47,9 @@ def _media_html(media: Column, full_url: Column, media_url: Column) -> Column:
 
 def feed_rows(posts: DataFrame, site: Site) -> DataFrame:
     """The newest visible posts with their feed fields: url, media url and HTML content."""
-    newest = newest_first(posts).limit(site.feed_size)
+    # the ids first, from narrow columns; then the bodies of so many posts
+    top = newest_first(posts).select("id").limit(site.feed_size)
+    newest = posts.join(F.broadcast(top), "id", "left_semi")
     host = F.lit(site.hostname)
     url = F.concat(
         host,

@@ -11,6 +11,12 @@ def merge_maps(left: Column, right: Column) -> Column:
     return F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k)), right)
 
 
+def zip_shorter(a: Column, b: Column) -> Column:
+    """Array of `struct<a, b>` of the elements side by side, as many as the shorter array has."""
+    n = F.least(F.size(a), F.size(b))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+
+
 def normalise_props(events: DataFrame, drop_keys: str, defaults: dict[str, int], overrides: dict[str, int]) -> DataFrame:
     """Parse `props`, drop nulls and keys fully matching a pattern, fill defaults, apply overrides.
 
@@ -38,6 +44,6 @@ def normalise_props(events: DataFrame, drop_keys: str, defaults: dict[str, int],
         # true or null, never false
         F.nullif(F.array_contains(keys, "extra"), F.lit(False)).alias("has_extra"),
         F.array_join(F.zip_with(keys, values, lambda k, v: F.concat(k, F.lit("="), v)), ",").alias("pairs"),
-        # the first pair of the zip of keys with a shorter list: the zip stops at the shorter
-        F.size(F.arrays_zip(F.slice(keys, 1, 1), F.slice(values, 1, 1))).cast("bigint").alias("zipped"),
+        # keys beside all values but the first
+        F.array_join(F.transform(zip_shorter(keys, F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0)))), lambda p: F.concat(p["a"], F.lit("="), p["b"])), ",").alias("zipped"),
     )

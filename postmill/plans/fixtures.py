@@ -50,14 +50,14 @@ UNION ALL SELECT id, 'post/author', author, 3, 'retract' FROM {fx_posts} WHERE i
 _TOKENS = """
 SELECT event_id AS seq, concat('u', cast(user_id AS string)) AS handle,
   {seconds} AS ts_s,
-  CASE event_type WHEN 'signup' THEN 'issue' ELSE 'redeem' END AS kind
-FROM {events} WHERE event_type IN ('signup', 'purchase')
+  CASE WHEN event_type IN ('signup', 'view') THEN 'issue' ELSE 'redeem' END AS kind
+FROM {events}
 """
 
 _ATTEMPTS = """
 SELECT event_id AS seq, user_id AS post_id,
   CASE WHEN event_type IN ('click', 'error') THEN 1 ELSE 2 END AS step, value >= 100 AS ok
-FROM {events} WHERE event_type IN ('click', 'error', 'view')
+FROM {events}
 """
 
 _LOOKUPS = """

@@ -50,11 +50,6 @@ def s7(spark, sf):
     return back.select("id", "author", F.col("picture.url").alias("pic1"), F.col("created").cast("timestamp_ntz").alias("created"))
 
 
-@query("s8_file_listing")
-def s8(spark, sf):
-    return SF.file_listing(spark, sf, r"[a-z]+\.parquet").select("name", "length")
-
-
 @query("s10_feed_file", "SELECT '    <id>https://site.example' || CASE WHEN old_id IS NOT NULL THEN '/post/' || old_id ELSE '/' || id::varchar END || '</id>' AS value FROM (SELECT * FROM fx_posts WHERE deleted IS NULL ORDER BY id DESC LIMIT 10)")
 def s10(spark, sf):
     path = new_path(spark, "feed")

@@ -159,7 +159,7 @@ def dates(spark, sf):
     """WITH p AS (SELECT event_id, cast(json_extract(props, '$.k') AS bigint) AS k FROM events),
        m AS (SELECT event_id, CASE WHEN k > 10 THEN 'k=' || (k + 1)::varchar END AS a, 'extra=20' AS b, 'fixed=77' AS c FROM p)
        SELECT event_id, a IS NOT NULL AS has_k, true AS has_extra,
-         concat_ws(',', b, c, a) AS pairs, 1::bigint AS zipped FROM m""",
+         concat_ws(',', b, c, a) AS pairs, concat_ws(',', 'extra=77', replace(a, 'k=', 'fixed=')) AS zipped FROM m""",
 )
 def c1(spark, sf):
     events = fx.table(spark, sf, "events")

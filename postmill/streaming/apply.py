@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
@@ -33,11 +34,15 @@ def apply_deletes(store: Store, post_ids: DataFrame, tx: int, now: datetime) ->
     store.append(FX.soft_delete(facts, post_ids, F.lit(now.astimezone(timezone.utc)), tx), tx)
 
 
-def edit_writer(edits: DataFrame, store: Store, first_tx: int, now: datetime, checkpoint: str):
-    """A stream writer that applies each micro-batch; start it with a trigger of choice."""
+def edit_writer(edits: DataFrame, store: Store, first_tx: int, now: datetime | Callable[[int], datetime], checkpoint: str):
+    """A stream writer that applies each micro-batch; start it with a trigger of choice.
+
+    `now` may be a function of the transaction number, which must give the same time when a batch is applied again.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        apply_edits(store, batch, first_tx + batch_id, now)
+        tx = first_tx + batch_id
+        apply_edits(store, batch, tx, now(tx) if callable(now) else now)
 
     return edits.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 

@@ -275,3 +275,48 @@ def test_duplicates_are_an_error(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b")], "id long, author string")
     with pytest.raises(PySparkException, match="no more than 1"):
         at_most_one(rows, "id", "author").collect()
+
+
+def test_file_listing(spark, sf):
+    from postmill.sources.files import file_listing
+
+    names = {r.name for r in file_listing(spark, sf, r"[a-m].*\.parquet").collect()}
+    assert "documents.parquet" in names and "pages.parquet" not in names
+
+
+def test_malformed_edits_are_split_off(spark):
+    from postmill.sources.files import good_edits, parse_edits
+
+    rows = [(1, '{"post/body": "b", "post/media": {"media/url": "uploads/a.png", "media/width": 3}}'), (2, '{"post/bo'), (3, None), (4, "[1"), (5, "{}")]
+    parsed = parse_edits(spark.createDataFrame(rows, "post_id long, json string"))
+    assert sorted(r.post_id for r in parsed.where("bad IS NOT NULL").collect()) == [2, 3, 4]
+    good = {r.post_id: r for r in good_edits(parsed).collect()}
+    assert set(good) == {1, 5} and (good[1].body, good[1].media_url, good[1].media_width) == ("b", "uploads/a.png", 3)
+
+
+def test_query_words_are_index_words(spark):
+    from postmill.functions.text import tokens
+    from postmill.operators.search import phrase, query_words, term
+    from pyspark.sql import functions as F
+
+    texts = ["हिन्दी में", "été snake_case x-y", "", "...", "A1 ² Ⅷ ǅ"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokens(F.col("t")).alias("w")).collect()
+    assert {r.t: r.w for r in rows} == {t: query_words(t) for t in texts}
+    assert term("x-y").words == ("x", "y") and phrase("").words == ()
+
+
+def test_blank_query_finds_nothing(spark):
+    from postmill.operators.search import build_index, result_page
+
+    posts = spark.createDataFrame([(1, "a", "some words", None)], "id long, author string, body string, created timestamp")
+    assert result_page(build_index(posts), posts, " !? ", 1, 10).collect() == []
+
+
+def test_null_users_are_not_counted(spark):
+    from datetime import datetime
+
+    from postmill.streaming.requests import daily_requests
+
+    rows = [(datetime(2024, 1, 1, 5), 1), (datetime(2024, 1, 1, 6), None), (datetime(2024, 1, 1, 7), 1)]
+    got = daily_requests(spark.createDataFrame(rows, "ts timestamp, user_id long")).collect()
+    assert [(r.requests, r.users) for r in got] == [(3, 1)]
