@@ -193,6 +193,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, column
     def linked(found: DataFrame) -> DataFrame:
         return found.where(F.expr(f"100 * common >= {threshold} * (n + m - common)")).select("a", "b")
 
+    def joined(group: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Components after further links."""
+        if links.isEmpty():
+            return group
+        known = group.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        return components(known.unionByName(links), scratch, name)
+
     def mixed(rows: DataFrame, group: DataFrame, name: str) -> DataFrame:
         """Members of buckets that hold several components: their component, and the bucket's largest one (main)."""
         placed = rows.join(group.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left")
@@ -235,8 +242,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, column
     apart = scratch.keep(both.mapInPandas(_differences, kinds), "apart")
     near = apart.where(F.expr(f"100 * (n - size(foreign)) >= {threshold} * (hub_n + size(foreign))")).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     more = scratch.keep(rarely.join(tried, ["a", "b"], "left_anti"), "rarely")
-    links = links.unionByName(near).unionByName(linked(overlaps(more, "rarely")))
-    group = components(links, scratch, "groups_central")
+    fresh = near.unionByName(linked(overlaps(more, "rarely"))).join(links, ["a", "b"], "left_anti")
+    group = joined(group, scratch.keep(fresh, "fresh"), "groups_central")
     # and what is in one bucket, but not in one component, by what it lacks of the hub and has beyond it
     able = able.join(apart.drop("n"), ["rep", "hub"], "left").withColumn("hub_n", F.coalesce("hub_n", "n"))
     none = F.array().cast("array<bigint>")
@@ -258,8 +265,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, column
     on = on & may_link("l_", "r_", F.lit(0), threshold) & enough(at_most) & enough(exact)
     found = left.join(right, on).select(F.col("l_rep").alias("a"), F.col("r_rep").alias("b")).distinct()
     found = scratch.keep(found, "found")
-    if not found.isEmpty():
-        group = components(links.unionByName(found), scratch, "final")
+    group = joined(group, found, "final")
     place = classes.join(group.withColumnRenamed("id", "rep"), "rep", "left")
     place = place.select("set1", "set2", F.coalesce("component", "rep").alias("root"))
     # rows without shingles stand alone
