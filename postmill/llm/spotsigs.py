@@ -128,12 +128,14 @@ def in_order(docs: DataFrame) -> tuple[DataFrame, WindowSpec]:
     splits = [-math.inf, *sorted({float(c) for c in cuts} or {0.0}), math.inf]
     keys = docs.select("uid", F.col("uid").cast("double").alias("_at"))
     cut = Bucketizer(splits=splits, inputCol="_at", outputCol="shard")
-    first = cut.transform(keys).groupBy("shard").agg(F.min("uid").alias("uid"))
+    whole = F.col("shard").cast("int")  # a window would deal rows out anew by a floating-point number
+    first = cut.transform(keys).withColumn("shard", whole).groupBy("shard").agg(F.min("uid").alias("uid"))
     # one row per shard, so this window and the broadcast are bounded by MOST_SHARDS
     order = Window.orderBy("shard")
     before = first.select("uid", F.lag("shard").over(order).alias("before"), F.max("shard").over(Window.partitionBy()).alias("last"))
     before = F.broadcast(before.select("uid", F.coalesce("before", "last").alias("shard")))
-    placed = cut.transform(docs.withColumn("_at", F.col("uid").cast("double"))).drop("_at").withColumn("_late", F.lit(False))
+    placed = cut.transform(docs.withColumn("_at", F.col("uid").cast("double"))).drop("_at").withColumn("shard", whole)
+    placed = placed.withColumn("_late", F.lit(False))
     extra = docs.join(before, "uid").withColumn("_late", F.lit(True)).select(placed.columns)
     dealt = placed.unionByName(extra).repartition("shard")
     row = Window.partitionBy("shard").orderBy("_late", "uid")
