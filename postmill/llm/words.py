@@ -21,6 +21,9 @@ _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 # fixed value: the tokenizer's own pattern, over the lower-case letters of that alphabet
 _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+# Byte-level models name bytes by characters: printable ones by their own, the others by those from 256 on.
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_NAMES = {b: chr(b) for b in _OWN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_OWN)))}
 
 
 class WordEncoder:
@@ -31,39 +34,35 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def _library(self, strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+    def _part(self, part: str) -> bytes:
+        """Ids of one piece that the tokenizer's pattern cuts out, from the model itself."""
+        named = part if part.isascii() else part.encode().decode("latin-1").translate(_NAMES)
+        self.parts[part] = ids = np.array([t.id for t in self.model.tokenize(named)], self.dtype).tobytes()
+        return ids
 
     def _learn(self, words: set[str]) -> None:
-        cut, whole, new = {}, [], set()
+        get, learn, odd = self.parts.get, self._part, []
         for word in words:
             if _PLAIN.fullmatch(word) and "<|" not in word:
-                cut[word] = parts = _CUT.findall(word.lower())
-                new.update(p for p in parts if p not in self.parts)
+                self.words[word] = b"".join([get(p) or learn(p) for p in _CUT.findall(word.lower())])
             else:
-                whole.append(word)
-        new = list(new)
-        self.parts.update(zip(new, self._library(new), strict=True))
-        self.words.update(zip(whole, self._library(whole), strict=True))
-        part = self.parts.__getitem__
-        self.words.update((word, b"".join(map(part, parts))) for word, parts in cut.items())
+                odd.append(word)
+        ids = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
+        self.words.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(odd, ids, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, little-endian and `dtype` wide. Null: none."""
         split = [[] if not t else re.split("[ \n]+", t) if _NOT_SPACE.search(t) else t.split() for t in texts]
-        out = []
-        for words in split:
-            if len(self.words) > HELD:
-                self.words, self.parts = {}, {}
-            try:
-                out.append(b"".join(map(self.words.__getitem__, words)))
-            except KeyError:
-                self._learn({w for w in words if w not in self.words})
-                out.append(b"".join(map(self.words.__getitem__, words)))
-        return out
+        if len(self.words) > HELD:
+            self.words, self.parts = {}, {}
+        known = self.words
+        self._learn({w for words in split for w in words if w not in known})
+        word = known.__getitem__
+        return [b"".join(map(word, words)) for words in split]
 
 
 def word_encoder(path: str) -> WordEncoder:
