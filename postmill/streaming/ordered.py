@@ -63,6 +63,10 @@ class OrderedFold(StatefulProcessor):
             self.waiting.clear()
         return iter([pd.DataFrame(out, columns=self.output)]) if out else iter([])
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """A key's state before its first row: JSON in the column `state`."""
+        self.state.update((initialState["state"].iloc[0],))
+
     def close(self) -> None:
         pass
 
@@ -73,11 +77,14 @@ def _plain(value):
     return value.item() if hasattr(value, "item") else value
 
 
-def _fold(stream: DataFrame, key: str, schema: str, fields: list[str], step: Step, lateness: str) -> DataFrame:
+def _fold(
+    stream: DataFrame, key: str, schema: str, fields: list[str], step: Step, lateness: str, start: DataFrame | None = None
+) -> DataFrame:
     output = [c.split()[0] for c in schema.split(", ")]
     rows = stream.withWatermark("ts", lateness).withColumn("ts_ms", F.unix_millis("ts"))
     return rows.groupBy(key).transformWithStateInPandas(
-        OrderedFold(fields, output, step), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+        OrderedFold(fields, output, step), outputStructType=schema, outputMode="Append", timeMode="EventTime",
+        initialState=None if start is None else start.groupBy(key),
     )
 
 
@@ -94,6 +101,10 @@ def token_stream(log: DataFrame, lateness: str = "10 minutes") -> DataFrame:
 
 def _edit_stream_step(year: int) -> Step:
     def step(state: dict, row: dict, key: tuple) -> list[tuple]:
+        for role in ("media", "full"):
+            if state.get(role):
+                url, version = state[role]
+                state[role] = (url, version if version is None else int(version))
         if row["deleted"]:
             state["deleted"] = True
             return [(key[0], row["seq"], "delete", None, None, None)]
@@ -104,14 +115,21 @@ def _edit_stream_step(year: int) -> Step:
     return step
 
 
-def edit_stream(edits: DataFrame, year: int, lateness: str = "10 minutes") -> DataFrame:
+def stored_media(posts: DataFrame) -> DataFrame:
+    """The state that edits of stored posts start from: `post_id, state`."""
+    role = lambda m: F.when(F.col(m).isNotNull(), F.array(F.col(f"{m}.url"), F.col(f"{m}.version").cast("string")))
+    pairs = F.struct(role("media").alias("media"), role("media_full").alias("full"))
+    return posts.select(F.col("id").alias("post_id"), F.to_json(pairs).alias("state"))
+
+
+def edit_stream(edits: DataFrame, year: int, lateness: str = "10 minutes", start: DataFrame | None = None) -> DataFrame:
     """Edits of each post in strict order: media action, current media url and version.
 
     Input `post_id, seq, ts, media_url, full_url, deleted`; the state of a post is its last media,
-    version and deletion.
+    version and deletion. `start` (see `stored_media`) is what posts have before the stream begins.
     """
     schema = "post_id bigint, seq bigint, action string, media_url string, media_version bigint, full_url string"
-    return _fold(edits, "post_id", schema, ["media_url", "full_url", "deleted"], _edit_stream_step(year), lateness)
+    return _fold(edits, "post_id", schema, ["media_url", "full_url", "deleted"], _edit_stream_step(year), lateness, start)
 
 
 def _poll_step(wait_ms: int) -> Step:
