@@ -21,7 +21,7 @@ from postmill.llm.hashing import kept
 from postmill.llm.rows import bounded_batches, computed
 
 SPACE = "▁"
-HELD = 500_000  # words kept by a worker process before it starts anew
+HELD = 300_000  # words, chunks and pairs of pieces kept by a worker process before it starts anew
 
 
 class Pieces:
@@ -76,26 +76,27 @@ class Pieces:
     def split(self, chunk: str) -> list[str]:
         """Pieces of a chunk; characters without a piece stand for themselves."""
         lengths: list[list[int]] = [[1] for _ in chunk]
-        for end, size in self.automaton.iter(chunk):
+        for end, size in self.automaton.iter(chunk):  # by ascending end, so each start's lengths ascend
             if size > 1:
                 lengths[end - size + 1].append(size)
-        for found in lengths:
-            found.sort()
+        fits, may_follow, n = self.fits, self.may_follow, len(chunk)
         failed, at, out = 0, 0, []  # failed: bit i is set if nothing goes on from place i
         rank = [len(lengths[0]) - 1] if chunk else []
-        while at < len(chunk):
+        while at < n:
             before = out[-1] if out else None
             options, r = lengths[at], rank[-1]
             while r >= 0:
                 size = options[r]
-                if not failed >> (at + size) & 1 and self.may_follow(before, chunk[at : at + size]):
-                    break
+                if not failed >> (at + size) & 1:
+                    fit = fits.get((before, chunk[at : at + size]))
+                    if may_follow(before, chunk[at : at + size]) if fit is None else fit:
+                        break
                 r -= 1
             if r >= 0:
                 rank[-1] = r
                 out.append(chunk[at : at + size])
                 at += size
-                if at < len(chunk):
+                if at < n:
                     rank.append(len(lengths[at]) - 1)
             else:
                 failed |= 1 << at
@@ -107,11 +108,11 @@ class Pieces:
 
     def ids_of(self, chunk: str) -> list[int]:
         """Ids of a string of spaces and letters as they stand, cut where no piece can cross."""
-        out, start = [], 0
-        for i in range(1, len(chunk) + 1):
-            if i < len(chunk) and chunk[i - 1 : i + 1] in self.pairs:
-                continue
-            part, start = chunk[start:i], i
+        pairs = self.pairs
+        cuts = [0, *(i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in pairs), len(chunk)]
+        out: list[int] = []
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            part = chunk[start:end]
             if part not in self.chunks:
                 ids = []
                 for piece in self.split(part):
@@ -154,8 +155,9 @@ class Pieces:
         return re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", text) if self.by_word else [text]
 
     def _learn(self, word: str) -> tuple[str, int, str]:
-        if len(self.words) > HELD:
-            self.words, self.chunks, self.fits = {}, {}, {}
+        for held in (self.words, self.chunks, self.fits):
+            if len(held) > HELD:
+                held.clear()
         ids = self.ids_of(word)
         self.words[word] = found = (",".join(map(str, ids)), len(ids), self.decode(ids, first=False))
         return found
