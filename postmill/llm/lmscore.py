@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.hashing import U64, mix, range_hash
+from postmill.llm.hashing import U64, kept, mix, range_hash
 from postmill.llm.rows import Scratch, bounded_batches, computed
 
 WORDS, PAIRS = 1 << 17, 1 << 20
@@ -84,16 +84,37 @@ class Model:
         return -np.log2(share)
 
 
-def _scored(models):
-    def of(text) -> tuple:
-        words, pairs = cells(text)
-        if not len(words):
-            return 0, None, None, None
-        a, b = (float(m.losses(words, pairs).mean()) for m in models.value)
-        return len(words), a, b, a - b
+def _models(path: str) -> tuple[Model, Model]:
+    """Target and background from the stored cells, of which there are as many as the tables have at most."""
+    import pyarrow.dataset
+    from pyarrow.fs import FileSystem
 
+    files, root = FileSystem.from_uri(path)
+    table = pyarrow.dataset.dataset(root, filesystem=files, format="parquet").to_table()
+    target, every = (np.zeros(PAIRS + WORDS + WORDS + 1, np.int64) for _ in range(2))
+    cell = table["cell"].to_numpy()
+    target[cell], every[cell] = table["target"].to_numpy(), table["every"].to_numpy()
+    words = slice(PAIRS, PAIRS + WORDS)
+    scale = target[words].sum() / max(every[words].sum(), 1) or 1.0
+    return Model(target, 1.0), Model(every, float(scale))
+
+
+def _scored(path: str):
     names = ["n_words", "target_loss", "background_loss", "score"]
-    return lambda: lambda frame: pd.DataFrame([of(t) for t in frame["text"]], columns=names)
+
+    def make():
+        target, background = kept(f"models {path}", lambda: _models(path))
+
+        def of(text) -> tuple:
+            words, pairs = cells(text)
+            if not len(words):
+                return 0, None, None, None
+            a, b = (float(m.losses(words, pairs).mean()) for m in (target, background))
+            return len(words), a, b, a - b
+
+        return lambda frame: pd.DataFrame([of(t) for t in frame["text"]], columns=names)
+
+    return make
 
 
 def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -108,15 +129,8 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     chosen = target_ids.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
     marked = docs.select("doc_id", "text").join(chosen, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     counted = marked.mapInPandas(_counted, "cell long, target long, every long")
-    sums = scratch.keep(counted.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("every").alias("every")), "cells")
-    # at most PAIRS + 2 * WORDS + 1 rows
-    table = sums.toPandas()
-    scratch.drop("cells")
-    target, every = (np.zeros(PAIRS + WORDS + WORDS + 1, np.int64) for _ in range(2))
-    target[table["cell"]], every[table["cell"]] = table["target"], table["every"]
-    words = slice(PAIRS, PAIRS + WORDS)
-    scale = target[words].sum() / max(every[words].sum(), 1) or 1.0
-    models = spark.sparkContext.broadcast((Model(target, 1.0), Model(every, float(scale))))
+    # at most PAIRS + 2 * WORDS + 1 rows, which the workers read from the shared folder
+    scratch.keep(counted.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("every").alias("every")), "cells")
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     kinds = "n_words long, target_loss double, background_loss double, score double"
-    return computed(ids, ["doc_id"], ["text"], _scored(models), kinds)
+    return computed(ids, ["doc_id"], ["text"], _scored(scratch.paths["cells"]), kinds)
