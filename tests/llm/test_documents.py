@@ -232,7 +232,8 @@ def test_repeats_edges(frame, edges):
     got = rows_of(suffix.remove_repeats(frame(edges)))
     assert len(got) == len(edges)
     assert sum(r["n_bytes"] - r["n_removed"] for r in got if r["doc_id"] == 9) == 1  # every later byte of a letter run is in a repeat
-    assert sorted(r["n_removed"] for r in got if r["doc_id"] == 7)[0] < 200
+    # a period of 31 bytes stays of the first of two equal texts; the third text is document 6's
+    assert sorted(r["n_removed"] for r in got if r["doc_id"] == 7) == [248, 279, 320]
     assert rows_of(suffix.remove_repeats(frame([]))) == []
 
 
