@@ -1,13 +1,14 @@
 """Documents scored by the cross-entropy difference of two n-gram models.
 
 Bigram models of a target part and of the whole corpus (the background) are estimated in the same way over one shared
-vocabulary: words are lower-cased and hashed to WORDS numbers, word pairs to PAIRS cells, for both alike. The background's counts are
-scaled to the target's number of words, so that smoothing weighs on both equally. A word's loss is
+vocabulary: words are lower-cased, and words, contexts and word pairs are counted by 64-bit keys of their own, for both alike. The
+background's counts are scaled to the target's number of words, so that smoothing weighs on both equally. A word's loss is
 -log2 of an even mix of its share behind the word before it, its share anywhere, and 1 / WORDS. A document's score is its mean loss in the
 target minus that in the background: the lower, the more it reads like the target.
 
-Counting and scoring read every word of every document. The models have a fixed number of cells, whatever
-the corpus; a hashed table is exact as long as few pairs share a cell and smooths them together beyond that.
+The counts grow with the corpus: no table of them is held anywhere. Documents are cut into chunks of bounded size. A chunk asks for
+each of its distinct keys once, with its own counts, so a key has as many rows as there are chunks at most; buckets of keys, of
+which there are the more the more words there are, add the counts up and answer every chunk, and each chunk scores its documents.
 """
 
 from __future__ import annotations
@@ -15,106 +16,187 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.hashing import U64, kept, mix, range_hash
-from postmill.llm.rows import Scratch, bounded_batches, computed
+from postmill.llm.hashing import U64, mix, range_hash
+from postmill.llm.rows import Scratch
 
-WORDS, PAIRS = 1 << 17, 1 << 20
+WORDS = 1 << 17  # the uniform share is one of so many words, whatever the corpus has
 PARTS = (0.5, 0.4, 0.1)  # pair, word, uniform
+CHUNK_WORDS, CHUNK_ROWS = 1 << 19, 50_000
+BUCKET_WORDS, LEAST_BITS = 1 << 21, 8  # words of the corpus a bucket of keys; 2^LEAST_BITS buckets at least
+_WORD, _CONTEXT = U64(0x9E6C63D0876A9A47), U64(0xC2B2AE3D27D4EB4F)  # set words and contexts apart from pairs
 _SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 
 
-def cells(text) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of a text's words, and cells of each with the word before it (the start of text counts as a word)."""
+def hashes(text) -> np.ndarray:
+    """64-bit hashes of a text's words."""
     if not isinstance(text, str) or not text:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, U64)
     data = _LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
     inside = np.concatenate([[False], ~_SPACE[data], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
     hasher = range_hash(21)
-    full = mix(hasher.ranges(hasher.prefix(data), start, end) ^ (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
-    before = np.concatenate([np.zeros(1, U64), full[:-1]])[: len(full)]
-    pair = mix(before * U64(0xD6E8FEB86659FD93) + full)
-    return (full % U64(WORDS)).astype(np.int64), (pair % U64(PAIRS)).astype(np.int64)
-
-
-def _contexts(words: np.ndarray) -> np.ndarray:
-    """The word before each; WORDS stands for the start of the text."""
-    return np.concatenate([[WORDS], words[:-1]])[: len(words)]
-
-
-def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per task: cell -> occurrences in the target and in all documents. Words come after pairs, then contexts."""
-    size = PAIRS + WORDS + WORDS + 1
-    target, every = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    for frame in frames:
-        for text, chosen in zip(frame["text"], frame["target"], strict=True):
-            words, pairs = cells(text)
-            if not len(words):
-                continue
-            found = np.concatenate([pairs, PAIRS + words, PAIRS + WORDS + _contexts(words)])
-            np.add.at(every, found, 1)
-            if chosen:
-                np.add.at(target, found, 1)
-    used = np.flatnonzero(every)
-    for i in range(0, len(used), 100_000):
-        at = used[i : i + 100_000]
-        yield pd.DataFrame({"cell": at, "target": target[at], "every": every[at]})
-
-
-class Model:
-    """Losses of words under counts of pairs, words and contexts."""
-
-    def __init__(self, counts: np.ndarray, scale: float):
-        counts = counts.astype(np.float64) * scale
-        self.pairs = counts[:PAIRS].astype(np.float32)
-        self.words = counts[PAIRS : PAIRS + WORDS].astype(np.float32)
-        self.contexts = counts[PAIRS + WORDS :].astype(np.float32)
-        self.total = max(float(counts[PAIRS : PAIRS + WORDS].sum()), 1.0)
-
-    def losses(self, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        seen = self.contexts[_contexts(words)]
-        behind = np.where(seen > 0, self.pairs[pairs] / np.maximum(seen, 1e-9), 0)
-        share = PARTS[0] * np.minimum(behind, 1) + PARTS[1] * self.words[words] / self.total + PARTS[2] / WORDS
-        return -np.log2(share)
-
-
-def _models(path: str) -> tuple[Model, Model]:
-    """Target and background from the stored cells, of which there are as many as the tables have at most."""
-    import pyarrow.dataset
-    from pyarrow.fs import FileSystem
-
-    files, root = FileSystem.from_uri(path)
-    table = pyarrow.dataset.dataset(root, filesystem=files, format="parquet").to_table()
-    target, every = (np.zeros(PAIRS + WORDS + WORDS + 1, np.int64) for _ in range(2))
-    cell = table["cell"].to_numpy()
-    target[cell], every[cell] = table["target"].to_numpy(), table["every"].to_numpy()
-    words = slice(PAIRS, PAIRS + WORDS)
-    scale = target[words].sum() / max(every[words].sum(), 1) or 1.0
-    return Model(target, 1.0), Model(every, float(scale))
-
-
-def _scored(path: str):
-    names = ["n_words", "target_loss", "background_loss", "score"]
-
-    def make():
-        target, background = kept(f"models {path}", lambda: _models(path))
-
-        def of(text) -> tuple:
-            words, pairs = cells(text)
-            if not len(words):
-                return 0, None, None, None
-            a, b = (float(m.losses(words, pairs).mean()) for m in (target, background))
-            return len(words), a, b, a - b
-
-        return lambda frame: pd.DataFrame([of(t) for t in frame["text"]], columns=names)
-
-    return make
+    return mix(hasher.ranges(hasher.prefix(data), start, end) ^ (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
+def _planes(numbers: np.ndarray, width: int) -> bytes:
+    """Little-endian bytes of whole numbers, all first bytes in front, so that the zeros of small numbers compress."""
+    return numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _numbers(raw: bytes, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
+
+
+def _gaps(keys: np.ndarray) -> bytes:
+    """Ascending keys as the first one and the gaps between them, whose high bytes are zeros."""
+    return _planes(np.diff(keys, prepend=U64(0)), 8)
+
+
+def _keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(raw, 8).view(U64), dtype=U64)
+
+
+_CHUNK = "ids array<bigint>, sizes binary, chosen binary, words binary, at binary, n_target long, n_every long"
+_CHUNK_ARROW = pa.schema(
+    [("ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("sizes", "chosen", "words", "at")), ("n_target", pa.int64()), ("n_every", pa.int64())]
+)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's documents in chunks: ids, numbers of words, which are the target, distinct words, and the place of each word among these."""
+    ids, found, chosen, size = [], [], [], 0
+
+    def made() -> pa.RecordBatch:
+        sizes, marks = np.array([len(f) for f in found]), np.array(chosen, bool)
+        words, at = np.unique(np.concatenate(found), return_inverse=True)
+        row = [ids, _planes(sizes, 4), marks.tobytes(), words.tobytes(), _planes(at, 4), int(sizes[marks].sum()), int(sizes.sum())]
+        return pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, _CHUNK_ARROW, strict=True)], schema=_CHUNK_ARROW)
+
+    for batch in batches:
+        for i, text, mark in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "target")), strict=True):
+            ids.append(i)
+            found.append(hashes(text))
+            chosen.append(mark)
+            size += len(found[-1])
+            if size >= CHUNK_WORDS or len(ids) >= CHUNK_ROWS:
+                yield made()
+                ids, found, chosen, size = [], [], [], 0
+    if ids:
+        yield made()
+
+
+class Chunk:
+    """Distinct keys of a chunk, ascending, and which of them belong to each of its words."""
+
+    def __init__(self, row: dict):
+        self.ids, self.sizes = row["ids"], _numbers(row["sizes"], 4)
+        words, self.at = np.frombuffer(row["words"], U64), _numbers(row["at"], 4)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.filled = np.flatnonzero(self.sizes)
+        self.target = np.repeat(np.frombuffer(row["chosen"], bool), self.sizes)
+        start = len(words)  # the start of a text counts as a word
+        self.before = np.concatenate([[start], self.at[:-1]])[: len(self.at)]
+        self.before[self.first[self.filled]] = start
+        contexts = np.append(words, U64(0))
+        pairs, self.pair = np.unique(mix(contexts[self.before] * U64(0xD6E8FEB86659FD93) + words[self.at]), return_inverse=True)
+        self.parts = np.cumsum([len(pairs), len(words)])
+        used = np.flatnonzero(np.bincount(self.before, minlength=start + 1))
+        self.context = np.zeros(start + 1, np.int64)
+        self.context[used] = np.arange(len(used))
+        every = np.concatenate([pairs, mix(words ^ _WORD), mix(contexts[used] ^ _CONTEXT)])
+        self.order = np.argsort(every)
+        self.keys = every[self.order]
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each key, in the target and in all documents of the chunk."""
+        a, b = self.parts
+        found = np.concatenate([self.pair, a + self.at, b + self.context[self.before]])
+        n = len(self.keys)
+        marked = found[np.tile(self.target, 3)]
+        return np.bincount(marked, minlength=n)[self.order], np.bincount(found, minlength=n)[self.order]
+
+    def losses(self, counts: np.ndarray, total: float, scale: float) -> np.ndarray:
+        """Mean loss of each filled document, from the whole corpus's counts of the keys."""
+        held = np.empty(len(counts))
+        held[self.order] = counts
+        a, b = self.parts
+        pairs, words, contexts = held[self.pair], held[a:b][self.at], held[b:][self.context[self.before]]
+        behind = np.where(contexts > 0, pairs / np.maximum(contexts, 1), 0)
+        share = PARTS[0] * behind + PARTS[1] * words * scale / max(total * scale, 1.0) + PARTS[2] / WORDS
+        return np.add.reduceat(-np.log2(share), self.first[self.filled]) / self.sizes[self.filled]
+
+
+_ASKED = "bucket long, chunk long, keys binary, target binary, every binary"
+_ASKED_ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("target", pa.binary()), ("every", pa.binary())])
+
+
+def _asked(bits: int):
+    """Keys and counts of each chunk, a row per bucket. A bucket is a range of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                chunk = Chunk(row)
+                if not len(chunk.keys):
+                    continue
+                target, every = chunk.counts()
+                bucket = (chunk.keys >> U64(64 - bits)).astype(np.int64)
+                begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                spans = [slice(a, b) for a, b in zip(begin, [*begin[1:], len(bucket)], strict=True)]
+                columns = [
+                    pa.array(bucket[begin]),
+                    pa.array(np.full(len(spans), row["chunk"], np.int64)),
+                    pa.array([_gaps(chunk.keys[s]) for s in spans], pa.binary()),
+                    pa.array([_planes(target[s], 4) for s in spans], pa.binary()),
+                    pa.array([_planes(every[s], 4) for s in spans], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=_ASKED_ARROW)
+
+    return run
+
+
+def _answered(asked: pa.Table) -> pa.Table:
+    """The same rows of one bucket with the counts of all chunks together."""
+    raw = {c: asked.column(c).to_pylist() for c in ("keys", "target", "every")}
+    keys = [_keys(k) for k in raw["keys"]]
+    known, at = np.unique(np.concatenate(keys), return_inverse=True)
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    answers = []
+    for name in ("target", "every"):
+        # sums are whole and below 2^53
+        total = np.bincount(at, np.concatenate([_numbers(r, 4) for r in raw[name]]), minlength=len(known)).astype(np.int64)
+        answers.append(pa.array([_planes(n, 8) for n in np.split(total[at], ends)], pa.binary()))
+    return pa.table([asked.column("bucket"), asked.column("chunk"), *answers], names=["bucket", "chunk", "target", "every"])
+
+
+_SCORES = "doc_id long, n_words long, target_loss double, background_loss double, score double"
+
+
+def _scored(n_target: int, n_every: int):
+    scale = n_target / max(n_every, 1) or 1.0
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        held = Chunk(chunk.to_pylist()[0])
+        columns = [pa.array(held.ids, pa.int64()), pa.array(held.sizes)]
+        losses = []
+        answers = answers.sort_by("bucket")
+        for name, total, by in (("target", n_target, 1.0), ("every", n_every, scale)):
+            loss, empty = np.zeros(len(held.ids)), held.sizes == 0
+            if len(held.filled):
+                counts = np.concatenate([_numbers(r, 8) for r in answers.column(name).to_pylist()])
+                loss[held.filled] = held.losses(counts, total, by)
+            losses.append(loss)
+        columns += [pa.array(x, mask=empty) for x in (*losses, losses[0] - losses[1])]
+        return pa.table(columns, names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
+
+    return run
 
 
 def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -123,14 +205,15 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     `target_ids` has the doc_id of documents that are the target; repeated and null ones are no matter. Null, empty
     and blank texts have no words and null losses. Without any target every score is that of the uniform model.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    scratch = Scratch(spark)
-    chosen = target_ids.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
-    marked = docs.select("doc_id", "text").join(chosen, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counted = marked.mapInPandas(_counted, "cell long, target long, every long")
-    # at most PAIRS + 2 * WORDS + 1 rows, which the workers read from the shared folder
-    scratch.keep(counted.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("every").alias("every")), "cells")
+    scratch = Scratch(docs.sparkSession)
+    chosen = target_ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    kinds = "n_words long, target_loss double, background_loss double, score double"
-    return computed(ids, ["doc_id"], ["text"], _scored(scratch.paths["cells"]), kinds)
+    marked = ids.join(chosen, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    chunks = scratch.keep(marked.mapInArrow(_chunks, _CHUNK).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    n_target, n_every = (n or 0 for n in chunks.agg(F.sum("n_target"), F.sum("n_every")).first())
+    scratch.release()  # the shuffle of the texts goes before that of the keys comes
+    bits = max(LEAST_BITS, (n_every // BUCKET_WORDS).bit_length())
+    kinds = "bucket long, chunk long, target binary, every binary"
+    answers = scratch.keep(chunks.mapInArrow(_asked(bits), _ASKED).groupBy("bucket").applyInArrow(_answered, kinds), "answers")
+    scratch.release()
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored(n_target, n_every), _SCORES)

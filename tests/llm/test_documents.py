@@ -319,6 +319,30 @@ def test_scores(frame, spark):
     assert got[4]["score"] is None and got[5]["n_words"] == 0
 
 
+def test_scores_of_many_words(frame, monkeypatch):
+    """More pairs than any fixed table has cells, in several chunks: rare words keep the counts of their own."""
+    monkeypatch.setattr(lmscore, "CHUNK_WORDS", 1 << 17, raising=False)
+    n = 1_000_000
+    rows = [(i, " ".join(f"w{k}" for k in range(i * n // 20, (i + 1) * n // 20))) for i in range(20)]
+    rows += [(20, "rare words mark this"), (21, "rare words mark this"), (22, "other words fill that")]
+    got = by_id(lmscore.score(frame(rows), frame([(20, None)])))
+    total = n + 12
+    # target: every pair has share 1 behind its word, every word a quarter
+    uniform = 0.1 / lmscore.WORDS
+    target = -np.log2(0.5 + 0.4 / 4 + uniform)
+    assert got[20]["target_loss"] == got[21]["target_loss"] == pytest.approx(target, abs=1e-9)
+    behind = [2 / 23, 1, 2 / 3, 1]  # start of 23 texts; "words" comes behind two words, and before two
+    word = [2 / total, 3 / total, 2 / total, 2 / total]
+    background = np.mean([-np.log2(0.5 * b + 0.4 * w + uniform) for b, w in zip(behind, word, strict=True)])
+    assert got[20]["background_loss"] == pytest.approx(background, abs=1e-9)
+    # each word of these comes once, and always behind the same one
+    first, other = (-np.log2(0.5 * b + 0.4 / total + uniform) for b in (1 / 23, 1))
+    size = n // 20
+    assert got[3]["n_words"] == size
+    assert got[3]["background_loss"] == pytest.approx((first + (size - 1) * other) / size, abs=1e-9)
+    assert got[3]["target_loss"] == pytest.approx(-np.log2(uniform), abs=1e-9)
+
+
 def test_scores_edges(frame, edges):
     assert len(rows_of(lmscore.score(frame(edges), frame([])))) == len(edges)
     assert rows_of(lmscore.score(frame([]), frame([(1, None)]))) == []
