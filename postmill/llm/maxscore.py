@@ -65,14 +65,14 @@ def _blocks(size: int):
     return run
 
 
-def search(matrix: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def search(matrix: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int, ids: np.ndarray | None = None, asked: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each query (a column of `queries`) the vectors whose score reaches `floor`, and their scores.
 
     Both are component-major with equal numbers of components and whole values. At least the k best are among
-    the vectors returned where no floor is given (-inf).
+    the vectors returned where no floor is given (-inf). Vectors whose number in `ids` is the query's in `asked` are left out.
     """
     high, low = matrix.max(axis=1), matrix.min(axis=1)
-    for q, least in zip(queries.T, floor, strict=True):
+    for n, (q, least) in enumerate(zip(queries.T, floor, strict=True)):
         bound = np.maximum(np.maximum(q * high, q * low), 0)
         order = np.argsort(-bound, kind="stable")
         rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0)  # the most that components from i on add
@@ -80,6 +80,8 @@ def search(matrix: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -
         first = order[:essential]
         score = q[first] @ matrix[first]
         alive = np.flatnonzero(score + rest[essential] >= least)
+        if ids is not None:
+            alive = alive[ids[alive] != asked[n]]
         score = score[alive]
         for i in range(essential, len(order), PROBE):
             if not len(alive):
@@ -88,8 +90,8 @@ def search(matrix: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -
             score = score + q[probed] @ matrix[np.ix_(probed, alive)]
             keep = score + rest[min(i + PROBE, len(order))] >= least
             alive, score = alive[keep], score[keep]
-        if least == -np.inf and len(alive) > k + 1:
-            edge = np.sort(score)[len(score) - k - 1]  # one more: the query itself may be there
+        if least == -np.inf and len(alive) > k:
+            edge = np.sort(score)[len(score) - k]
             keep = score >= edge
             alive, score = alive[keep], score[keep]
         yield alive, score
@@ -112,9 +114,8 @@ def _hits(k: int):
                     # too large for exact floating point: whole numbers of any size
                     matrix, queries = (np.vectorize(int, otypes=[object])(m) for m in (matrix, queries))
                 floor = np.array([best[a][0][-1] if a in best and len(best[a][0]) == k else -np.inf for a in asked.tolist()], object if matrix.dtype == object else float)
-                for a, (where, score) in zip(asked.tolist(), search(matrix, queries, floor, k), strict=True):
-                    other = ids[where] != a
-                    s, i = score[other], ids[where][other]
+                for a, (where, score) in zip(asked.tolist(), search(matrix, queries, floor, k, ids, asked), strict=True):
+                    s, i = score, ids[where]
                     if a in best:
                         s, i = np.concatenate([best[a][0], s]), np.concatenate([best[a][1], i])
                     order = np.argsort(i, kind="stable")

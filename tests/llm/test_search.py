@@ -34,6 +34,17 @@ def test_top_k(spark, shard, monkeypatch):
     assert got(spark, rows) == want(rows)
 
 
+@pytest.mark.parametrize("copies", [2, 11, 30])
+@pytest.mark.parametrize("shard", [4096, 16])
+def test_repeated_rows_of_the_query(spark, shard, copies, monkeypatch):
+    monkeypatch.setattr(maxscore, "SHARD", shard)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=12).round(2).tolist()) for i in range(1, 60)]
+    rows += [(100, [4.0] * 12)] * copies
+    expected = want(rows[:59] + rows[59:60])
+    assert len(expected) == 10 and got(spark, rows) == expected
+
+
 def test_edges(spark):
     rows = [(0, [1.0, 2.0]), (100, [0.0, 0.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [-3.0, 0.001]), (None, [1.0, 1.0]), (200, [5e6, -7e6]), (300, [3e9, 4e9])]
     assert got(spark, rows) == want(rows)
