@@ -1,9 +1,9 @@
 """SpotSigs fingerprints with built-in functions only.
 
 A *spot* is a place behind a common word (an anchor). Its signature is the chain of the next CHAIN content words, that is
-words that are no anchors. The start of a text is a spot too, so every text with a content word has a signature; a short text
-(below SHORT words) has a spot before every content word, for anchors are too rare there. Tables and code have hardly any
-anchors, so content words whose hash is divisible by 4 are followed by a spot as well.
+words that are no anchors. The start of a text is a spot too, so every text with a content word has a signature. Short texts,
+tables and code have hardly any anchors, so content words whose hash is divisible by 4 are followed by a spot as well. The rule
+is the same at every length: whether a place is a spot depends on the word before it only, so near copies share their spots.
 
 The fingerprint is the number of distinct signatures and a digest of them in
 order. Likeness is the Jaccard similarity of the signature sets; it is skipped where the set
@@ -22,7 +22,6 @@ from pyspark.sql.window import Window, WindowSpec
 from postmill.llm.rows import Scratch, keyed
 
 CHAIN = 2
-SHORT = 40
 # fixed values: frequent function words of English, German, French and Spanish
 ANCHORS = (
     "a an and are as at be by for from in is it of on or that the this to was with "
@@ -55,7 +54,7 @@ def with_signatures(df: DataFrame, text: Column, name: str) -> DataFrame:
         return F.translate(F.coalesce(F.get("_w", i), F.lit("")), _MARK, "")
 
     spots = F.filter(
-        F.sequence(F.lit(0), last - 1), lambda i: (last < SHORT) | (i == 0) | F.get("_w", i).endswith(_MARK) | (F.pmod(F.xxhash64(word(i)), F.lit(4)) == 0)
+        F.sequence(F.lit(0), last - 1), lambda i: (i == 0) | F.get("_w", i).endswith(_MARK) | (F.pmod(F.xxhash64(word(i)), F.lit(4)) == 0)
     )
     chains = F.transform(spots, lambda i: F.xxhash64(*(word(i + 1 + k) for k in range(CHAIN))))
     none = F.array().cast("array<bigint>")

@@ -49,6 +49,25 @@ def test_spotsigs_edges(frame, edges):
     assert rows_of(spotsigs.edited(frame([(1, "alone in the world")])))[0]["near_next"] == 1.0
 
 
+def test_spotsigs_same_spots_at_every_length(frame):
+    """Of a text with 39 content words, and of its copies with some more, all but the chains at the end are the same."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("bcdfghklmn") for _ in range(6))
+    rows, more = [], (0, 1, 2, 20)
+    for k in range(40):
+        text = " ".join(rng.choice(("", "", "the ", "of ")) + word() for _ in range(39))
+        rows += [(10 * k + j, " ".join([text, *(word() for _ in range(n))])) for j, n in enumerate(more)]
+    got = by_id(spotsigs.fingerprints(frame(rows)))
+    for k in range(40):
+        sets = [set(got[10 * k + j]["signatures"]) for j in range(len(more))]
+        assert all(len(sets[0] - s) <= 1 and len(s - sets[0]) <= n + 1 for s, n in zip(sets, more, strict=True))
+    members, links = spotsigs.similar(frame([r for r in rows if r[0] % 10 < 3]), 0.8)
+    of = {r["doc_id"]: r["fingerprint"] for r in rows_of(members)}
+    linked = {(r["a"], r["b"]) for r in rows_of(links)}
+    near = [of[10 * k] == of[10 * k + 1] or tuple(sorted((of[10 * k], of[10 * k + 1]))) in linked for k in range(40)]
+    assert sum(near) >= 36
+
+
 def test_spotsigs_similar(frame, passages):
     rows = passages + [(10_000 + i, t) for i, t in passages[:5]]
     members, links = spotsigs.similar(frame(rows), 0.6)
