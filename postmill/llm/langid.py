@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postmill.llm.rows import bounded_batches, computed
+from postmill.llm.rows import bounded_batches, computed, keyed
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -153,12 +153,14 @@ def learn(docs: DataFrame, may_learn: Column) -> Network | None:
     """A network from the labelled rows for which `may_learn` holds; None without any."""
     bounded_batches(docs.sparkSession)
     labelled = docs.where(may_learn).where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    key = F.xxhash64(F.col("doc_id").cast("string"))
-    order = Window.partitionBy("lang").orderBy("key", "doc_id")
-    chosen = labelled.select("doc_id", "lang", key.alias("key")).withColumn("r", F.row_number().over(order))
+    # rows under one id are documents of their own, drawn one by one
+    labelled = keyed(labelled, ["lang", "text"])
+    key = F.xxhash64(F.col("uid").cast("string"))
+    order = Window.partitionBy("lang").orderBy("key", "uid")
+    chosen = labelled.select("uid", "lang", key.alias("key")).withColumn("r", F.row_number().over(order))
     # bounded: PER_LANGUAGE rows of each language
-    chosen = F.broadcast(chosen.where(F.col("r") <= PER_LANGUAGE).select("doc_id", "lang", "key"))
-    texts = docs.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("key", "lang", "text")
+    chosen = F.broadcast(chosen.where(F.col("r") <= PER_LANGUAGE).select("uid", "lang", "key"))
+    texts = labelled.join(chosen, ["uid", "lang"]).select("key", "lang", "text")
     sample = texts.mapInPandas(_samples, "lang string, window binary").toPandas()
     if not len(sample):
         return None

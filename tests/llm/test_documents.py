@@ -290,6 +290,21 @@ def test_language(spark, sf, frame):
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.95
 
 
+def test_language_sample_with_a_hot_id(frame, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 10)
+    monkeypatch.setattr(langid, "train", lambda windows, which, languages: (windows, which, languages))
+    rows = [(7, f"hot number {i} " * 20) for i in range(30)] + [(100 + i, f"cold number {i} " * 20) for i in range(30)]
+    windows, which, languages = langid.learn(frame(rows).withColumn("lang", F.lit("en")), F.lit(True))
+    assert languages == ["en"] and len(which) == 10 * langid.PER_DOCUMENT
+    hot = sum(b"hot" in bytes(w) for w in windows)
+    assert 0 < hot < len(windows)
+    # one id alone
+    windows, _, _ = langid.learn(frame(rows[:30]).withColumn("lang", F.lit("en")), F.lit(True))
+    assert len(windows) == 10 * langid.PER_DOCUMENT
+
+
 def test_language_edges(spark, frame, edges):
     labelled = spark.createDataFrame([(i, t, "xx" if i % 2 else "yy") for i, t in [(1, "alpha beta"), (2, "delta"), (3, None)]], "doc_id long, text string, lang string")
     from pyspark.sql import functions as F
