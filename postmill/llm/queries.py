@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import infill, langid, licenses, lmscore, maxscore, minhash, negatives, packing, spm, spotsigs, suffix, wavelet
+from postmill.llm import infill, langid, licenses, lmscore, maxscore, minhash, negatives, packing, spm, spotsigs, suffix, toxicity, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,6 +93,14 @@ def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return negatives.mine(vectors, label, F.col("vec_id") % 100 == 0)
 
 
+@query
+def op13_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    part = F.crc32(F.col("doc_id").cast("string")) % 4
+    judge = toxicity.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"), part != 2)
+    return toxicity.score(docs.withColumn("held_out", F.coalesce(part == 2, F.lit(False))), judge, ["doc_id", "held_out"])
+
+
 # Units are listed and joined again instead of matched by count.
 ORACLE["op11_infill"] = """
 WITH d AS (
