@@ -14,6 +14,7 @@ from postmill.schema import ATTR, ATTRS, FACT, VALUE_COLUMNS
 
 MANY = [a.name for a in ATTRS if a.many]
 COMPONENTS = [a.name for a in ATTRS if a.component]
+BULKY = [a.name for a in ATTRS if a.bulky]
 COLUMNS = FACT.fieldNames()
 
 # wide names of the attributes, by entity
@@ -45,8 +46,23 @@ CROSSPOST_ATTRS = {
 }
 
 
-def _order() -> Column:
-    return F.struct("tx", "ord")
+# bits of a fact's place in the log: transaction, order within it, and whether it adds
+_TX_BITS, _ORD_BITS = 26, 36
+
+
+def place() -> Column:
+    """A long that grows with `(tx, ord)` and is odd for facts that add.
+
+    A fold keeps the highest place of each entity and attribute, which fits in a fixed-width buffer, and values are
+    fetched by it afterwards. No two facts about one attribute of one entity may have the same place.
+    """
+    fits = F.col("tx").between(0, (1 << _TX_BITS) - 1) & F.col("ord").between(0, (1 << _ORD_BITS) - 1)
+    packed = F.shiftleft("tx", _ORD_BITS + 1) + F.shiftleft("ord", 1) + (F.col("op") == "add").cast("bigint")
+    return F.when(fits, packed).otherwise(F.raise_error(F.lit("tx or ord of a fact is out of range")).cast("bigint"))
+
+
+def _adds(at: Column) -> Column:
+    return at.bitwiseAND(1) == 1
 
 
 def fact_rows(df: DataFrame, e: str | Column, values: dict[str, Column], tx: int | Column, op: str = "add") -> DataFrame:
@@ -99,28 +115,56 @@ def value_text(prefix: str = "") -> Column:
 
 
 def current(facts: DataFrame) -> DataFrame:
-    """Current facts `e, a, v_*`. Aggregated map-side before the shuffle."""
-    each_value = F.when(F.col("a").isin(MANY), F.col("v_long"))
-    last = F.max_by(F.struct("op", *VALUE_COLUMNS), _order()).alias("last")
-    folded = facts.groupBy("e", "a", each_value.alias("one")).agg(last)
-    return folded.where(F.col("last.op") == "add").select("e", "a", *[f"last.{c}" for c in VALUE_COLUMNS])
-
+    """Current facts `e, a, v_*`, folded map-side before the shuffle.
 
-def pull(facts: DataFrame, attrs: dict[str, str]) -> DataFrame:
+    Bulky values take no part in the fold: it finds their last place, by which they are fetched, so each moves once.
+    """
+    one = F.when(F.col("a").isin(MANY), F.col("v_long"))
+    keyed = facts.select("e", "a", one.alias("one"), place().alias("at"), *VALUE_COLUMNS)
+    bulky = F.col("a").isin(BULKY)
+    small = keyed.where(~bulky).groupBy("e", "a", "one").agg(F.max_by(F.struct(*VALUE_COLUMNS), "at").alias("v"), F.max("at").alias("last"))
+    small = small.where(_adds(F.col("last"))).select("e", "a", *[f"v.{c}" for c in VALUE_COLUMNS])
+    large = keyed.where(bulky)
+    last = large.groupBy("e", "a").agg(F.max("at").alias("last")).where(_adds(F.col("last")))
+    # a difference instead of an equality keeps the join on the keys that the aggregation is dealt by
+    large = large.join(last, ["e", "a"]).where(F.col("at") - F.col("last") == 0)
+    return small.unionByName(large.select(*small.columns))
+
+
+def pull(facts: DataFrame, attrs: dict[str, str], late: bool = False) -> DataFrame:
     """Wide rows `e, <name>...` of single-valued attributes: fold and pivot in one aggregation.
 
-    The attribute names are literals, so the filter prunes the partitions of a stored log.
+    Of bulky attributes it keeps the last place; their values come from their own part of the log, by a join on the
+    entity that finds the wide rows dealt by it already. With `late` the places stay, as `at_<name>`, for `fetch` to
+    replace after other joins. The attribute names are literals, so the filters prune the partitions of a stored log.
     """
     aggs = []
     for name, attr in attrs.items():
-        mine = F.col("a") == attr
-        # rows of other attributes have a null order and are ignored by max_by
-        last = F.max_by(F.struct("op", F.col(ATTR[attr].column).alias("v")), F.when(mine, _order()))
-        aggs.append(last.alias(name))
-    wide = facts.where(F.col("a").isin(list(attrs.values()))).groupBy("e").agg(*aggs)
-    values = [F.when(F.col(f"{n}.op") == "add", F.col(f"{n}.v")).alias(n) for n in attrs]
-    present = F.coalesce(*[F.when(F.col(n).isNotNull(), True) for n in attrs])
-    return wide.select("e", *values).where(present)
+        # rows of other attributes have a null place and are ignored
+        at = F.when(F.col("a") == attr, F.col("at"))
+        aggs.append(F.max(at).alias(f"at_{name}"))
+        if attr not in BULKY:
+            aggs.append(F.max_by(F.col(ATTR[attr].column), at).alias(name))
+    columns = sorted({ATTR[a].column for a in attrs.values() if a not in BULKY})
+    wanted = facts.where(F.col("a").isin(list(attrs.values())))
+    wide = wanted.select("e", "a", place().alias("at"), *columns).groupBy("e").agg(*aggs)
+    kept = {n: n if a not in BULKY else f"at_{n}" for n, a in attrs.items()}
+    out = wide.select("e", *[F.when(_adds(F.col(f"at_{n}")), F.col(c)).alias(c) for n, c in kept.items()])
+    out = out.where(F.coalesce(*[F.when(F.col(c).isNotNull(), True) for c in kept.values()]))
+    if late:
+        return out
+    for name, attr in attrs.items():
+        if attr in BULKY:
+            out = fetch(out, facts, name, attr)
+    return out.select("e", *attrs)
+
+
+def fetch(wide: DataFrame, facts: DataFrame, name: str, attr: str) -> DataFrame:
+    """Replaces `at_<name>` by the attribute's value at that place."""
+    values = facts.where((F.col("a") == attr) & (F.col("op") == "add"))
+    values = values.select(F.col("e").alias("e_"), place().alias("at_"), F.col(ATTR[attr].column).alias(name))
+    same = (F.col("e") == F.col("e_")) & (F.col("at_") - F.col(f"at_{name}") == 0)
+    return wide.join(values, same, "left").drop("e_", "at_", f"at_{name}")
 
 
 def pull_many(facts: DataFrame, entities: DataFrame, attrs: dict[str, str]) -> DataFrame:
@@ -130,18 +174,32 @@ def pull_many(facts: DataFrame, entities: DataFrame, attrs: dict[str, str]) -> D
 
 
 def references(facts: DataFrame, attr: str) -> DataFrame:
-    """Current references `e, ref` of one attribute, single- or many-valued."""
-    return current(facts.where(F.col("a") == attr)).select("e", F.col("v_long").alias("ref"))
-
+    """Current references `e, ref` of one attribute, single- or many-valued: one hash aggregation."""
+    keys = ["e", "v_long"] if attr in MANY else ["e"]
+    rows = facts.where(F.col("a") == attr).select("e", "v_long", place().alias("at"))
+    last = rows.groupBy(*keys).agg(F.max_by("v_long", "at").alias("ref"), F.max("at").alias("last"))
+    return last.where(_adds(F.col("last"))).select("e", "ref")
 
-def snapshot(facts: DataFrame) -> DataFrame:
-    """All posts with media and crossposts nested: `e`, then the columns of a post."""
-    posts = pull(facts, POST_ATTRS).where(F.col("id").isNotNull())
-    media = pull(facts, MEDIA_ATTRS)
 
-    def nested(ref: str, name: str) -> DataFrame:
-        return media.select(F.col("e").alias(ref), F.struct(*MEDIA_ATTRS).alias(name))
+def snapshot(facts: DataFrame, entities: bool = False) -> DataFrame:
+    """All posts with media and crossposts nested: `e`, then the columns of a post.
 
+    Media and crossposts are brought to their post, and bodies come last, so that a body moves once. With `entities` there are also
+    `media_ref`, `full_ref` and `crosspost_refs` (in the order of `crosspost`), the entities behind the nested columns.
+    """
+    names = [n for n in POST_ATTRS if not n.endswith("_ref")]
+    posts = pull(facts, {n: POST_ATTRS[n] for n in names}, late=True).where(F.col("id").isNotNull())
+
+    # each medium goes to the post that refers to it, in whichever role
+    roles = {"media": POST_ATTRS["media_ref"], "full": POST_ATTRS["full_ref"]}
+    refs = facts.where(F.col("a").isin(list(roles.values()))).select("e", "a", "v_long", place().alias("at"))
+    refs = refs.groupBy("e", "a").agg(F.max_by("v_long", "at").alias("ref"), F.max("at").alias("last")).where(_adds(F.col("last")))
+    found = refs.join(pull(facts, MEDIA_ATTRS).withColumnRenamed("e", "ref"), "ref")
+    media = F.struct(*MEDIA_ATTRS)
+    by_role = found.groupBy("e").agg(
+        *[F.max(F.when(F.col("a") == a, media)).alias(n) for n, a in zip(("media", "media_full"), roles.values())],
+        *[F.max(F.when(F.col("a") == a, F.col("ref"))).alias(f"{n}_ref") for n, a in roles.items()],
+    )
     fields = list(CROSSPOST_ATTRS)
     crossposts = pull(facts, CROSSPOST_ATTRS).withColumnRenamed("e", "ref")
     by_post = (
@@ -149,12 +207,11 @@ def snapshot(facts: DataFrame) -> DataFrame:
         .join(crossposts, "ref")
         .groupBy("e")
         .agg(F.sort_array(F.collect_list(F.struct("ref", *fields))).alias("c"))
-        .select("e", F.transform("c", lambda c: F.struct(*[c[f].alias(f) for f in fields])).alias("crosspost"))
+        .select("e", F.transform("c", lambda c: F.struct(*[c[f].alias(f) for f in fields])).alias("crosspost"), F.col("c.ref").alias("crosspost_refs"))
     )
-    out = posts.join(nested("media_ref", "media"), "media_ref", "left").join(nested("full_ref", "media_full"), "full_ref", "left")
-    out = out.join(by_post, "e", "left")
-    names = [n for n in POST_ATTRS if not n.endswith("_ref")]
-    return out.select("e", *names, "media", "media_full", "crosspost")
+    out = fetch(posts.join(by_role, "e", "left").join(by_post, "e", "left"), facts, "body", POST_ATTRS["body"])
+    extra = ["media_ref", "full_ref", "crosspost_refs"] if entities else []
+    return out.select("e", *names, "media", "media_full", "crosspost", *extra)
 
 
 def media_posts(facts: DataFrame) -> DataFrame:

@@ -67,13 +67,14 @@ class Attr:
     unique: bool = False
     many: bool = False
     component: bool = False  # a reference to an owned child entity
+    bulky: bool = False  # values too large to be folded with the others
 
 
 # fixed values: attribute names and flags of the data model
 ATTRS = [
     Attr("post/id", "v_long", unique=True),
     Attr("post/old-id", "v_str", unique=True),
-    Attr("post/body", "v_str"),
+    Attr("post/body", "v_str", bulky=True),
     Attr("post/author", "v_str"),
     Attr("post/created", "v_ts"),
     Attr("post/updated", "v_ts"),

@@ -52,14 +52,12 @@ class Store:
         names = [s.getPath().getName() for s in target.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(target)]
         return max((int(n.split("=")[1]) for n in names if n.startswith("batch=")), default=0)
 
-    def append(self, facts: DataFrame, tx: int, files: int | None = None) -> None:
+    def append(self, facts: DataFrame, tx: int) -> None:
         """Store the facts of one transaction. A replay of the same transaction is harmless.
 
-        Rows are ranged by attribute and entity, so the heaviest attribute is spread over tasks.
+        Rows are dealt by attribute in one pass; adaptive execution splits the heavy attributes and joins the light ones.
         """
-        keys = ["a", "e"]
-        ranged = facts.repartitionByRange(files, *keys) if files else facts.repartitionByRange(*keys)
-        rows = ranged.sortWithinPartitions(*keys)
+        rows = facts.hint("rebalance", "a").sortWithinPartitions("a", "e")
         rows.write.mode("overwrite").partitionBy("a").parquet(f"{self.path}/facts/batch={tx}")
 
     def write_snapshot(self) -> int:
