@@ -214,6 +214,21 @@ def snapshot(facts: DataFrame, entities: bool = False) -> DataFrame:
     return out.select("e", *names, "media", "media_full", "crosspost", *extra)
 
 
+def facts_of_posts(posts: DataFrame, tx: int) -> DataFrame:
+    """The facts behind rows of `snapshot(..., entities=True)`, as of transaction `tx`."""
+    parts = [fact_rows(posts, "e", {a: F.col(n) for n, a in POST_ATTRS.items()}, tx)]
+    for ref, column in (("media_ref", "media"), ("full_ref", "media_full")):
+        own = posts.where(F.col(ref).isNotNull())
+        parts.append(fact_rows(own, F.col(ref), {a: F.col(f"{column}.{n}") for n, a in MEDIA_ATTRS.items()}, tx))
+    each = posts.select("e", F.explode(F.arrays_zip(F.col("crosspost_refs").alias("ref"), F.col("crosspost").alias("c"))).alias("z"))
+    parts.append(fact_rows(each, F.col("z.ref"), {a: F.col(f"z.c.{n}") for n, a in CROSSPOST_ATTRS.items()}, tx))
+    parts.append(fact_rows(each, "e", {"post/crosspost": F.col("z.ref")}, tx))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def media_posts(facts: DataFrame) -> DataFrame:
     """Media with the post that owns them in either role: `e, url, post`."""
     media = pull(facts, {"url": "media/url"})
@@ -241,24 +256,25 @@ def holders(facts: DataFrame, attr: str, values: DataFrame) -> DataFrame:
     return now.join(wanted, "value", "left_semi")
 
 
-def resolve(facts: DataFrame, rows: DataFrame, attr: str, column: str) -> DataFrame:
+def resolve(facts: DataFrame, rows: DataFrame, attr: str, column: str, top: int | None = None) -> DataFrame:
     """Adds `e`: the entity holding the unique value, or a new one per distinct new value.
 
-    `rows` is read several times; store it first if it is costly.
+    `rows` is read several times; store it first if it is costly. New entities follow `top`, by default the highest
+    one in `facts`.
     """
     values = rows.select(F.col(column).alias("value"))
     known = holders(facts, attr, values).withColumnRenamed("value", column)
     fresh = rows.select(column).distinct().join(known, column, "left_anti")
-    top = facts.agg(F.coalesce(F.max("e"), F.lit(0)).alias("e")).scalar()
+    top = facts.agg(F.coalesce(F.max("e"), F.lit(0)).alias("e")).scalar() if top is None else F.lit(top)
     new = numbered(fresh, [column], "k").select(column, (F.col("k") + top).alias("new_e"))
     return rows.join(known, column, "left").join(new, column, "left").withColumn("e", F.coalesce("e", "new_e")).drop("new_e")
 
 
-def upsert(facts: DataFrame, rows: DataFrame, identity: str, values: dict[str, Column], tx: int) -> DataFrame:
+def upsert(facts: DataFrame, rows: DataFrame, identity: str, values: dict[str, Column], tx: int, top: int | None = None) -> DataFrame:
     """Facts that set `values` on the entities found or made by a unique attribute, whose value is
     in the column of that attribute's wide name. Later rows of a batch (by `ord`) win in the fold."""
     column = {v: k for k, v in {**POST_ATTRS, **MEDIA_ATTRS}.items()}[identity]
-    found = resolve(facts, rows, identity, column)
+    found = resolve(facts, rows, identity, column, top)
     return fact_rows(found, "e", {identity: F.col(column), **values}, tx)
 
 
@@ -306,6 +322,6 @@ def retract_entity(facts: DataFrame, entities: DataFrame, tx: int, ord: int = 0)
     ).select(*COLUMNS)
 
 
-def soft_delete(facts: DataFrame, post_ids: DataFrame, now: Column, tx: int) -> DataFrame:
+def soft_delete(facts: DataFrame, post_ids: DataFrame, now: Column, tx: int, top: int | None = None) -> DataFrame:
     """Marks posts `id` as deleted. An unknown id makes a new entity without a body."""
-    return upsert(facts, post_ids.select("id").distinct(), "post/id", {"post/updated": now, "post/deleted?": F.lit(True)}, tx)
+    return upsert(facts, post_ids.select("id").distinct(), "post/id", {"post/updated": now, "post/deleted?": F.lit(True)}, tx, top)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from postmill.functions.text import WORD, format_text, replace_matches, tokens
+from postmill.session import durable
 
 # fixed values: parameters of the ranking formula
 K1 = 1.2
@@ -168,6 +169,12 @@ def build_index(posts: DataFrame) -> Index:
     return Index(docs, postings)
 
 
+def build_index_once(posts: DataFrame) -> Index:
+    """The same index, with every body tokenised once: its terms are stored, and documents and postings derive from that."""
+    rows = durable(_with_terms(posts))
+    return Index(rows.select("id", "created_s", "dl"), _posting_rows(rows))
+
+
 def term_bucket(t: Column, buckets: int = TERM_BUCKETS) -> Column:
     return F.pmod(F.hash(t), F.lit(buckets))
 

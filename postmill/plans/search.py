@@ -46,7 +46,7 @@ def stored(spark, sf) -> S.Index:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _STORED:
         path = new_path(spark, "index")
-        S.write_index(S.build_index(docs(spark, sf)), path)
+        S.write_index(S.build_index_once(docs(spark, sf)), path)
         _STORED[key] = path
     return S.read_index(spark, _STORED[key])
 

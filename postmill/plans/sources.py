@@ -104,7 +104,7 @@ def s14(spark, sf):
 )
 def s9(spark, sf):
     path = new_path(spark, "index")
-    S.write_index(S.build_index(fx.fx_posts(spark, sf)), path)
+    S.write_index(S.build_index_once(fx.fx_posts(spark, sf)), path)
     found = S.matches(S.read_index(spark, path), must=S.words_clause("der und"))
     return found.withColumn("score", F.round("score", 6))
 
