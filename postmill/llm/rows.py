@@ -17,15 +17,16 @@ from postmill.operators.ordering import numbered
 from postmill.session import new_path, remove
 
 
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Hands Python at most BATCH_ROWS rows at once, since rows here hold whole texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if not 0 < now <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Hands Python at most BATCH_ROWS rows and about BATCH_BYTES at once, since rows here hold whole texts."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
 
 
 class Scratch:

@@ -33,7 +33,7 @@ from postmill.llm.hashing import U64, mix, range_hash
 from postmill.llm.rows import Scratch, computed, keyed
 
 Q = 32  # bytes of a head; windows must be longer
-SHARE = 4000  # spans of one head sorted in one task
+SHARE = 2_000  # spans of one head sorted in one task
 BLOCK = 1 << 20  # bytes hashed or sorted at once
 _RUN_BITS = 12  # windows of a span (below 2^12) are packed behind its start
 
@@ -138,34 +138,52 @@ def refine(data: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
 
 
 def _windows(frame: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Each window of the spans of some whole groups: its document, start, and whether an earlier one here equals it."""
+    """Runs of windows that an earlier one here equals, and of heads in several parts each first window with its hash.
+
+    Rows of the second kind have n = 0.
+    """
     raw = frame["span"].tolist()
-    ends = np.cumsum([len(r) for r in raw])
-    begin = np.concatenate([[0], ends[:-1]])
+    sizes = np.array([len(r) for r in raw], np.int32)
+    ends = np.cumsum(sizes, dtype=np.int32)
     data = np.frombuffer(b"".join(raw), np.uint8)
-    last = np.repeat(ends, [len(r) for r in raw])
-    bucket = refine(data, last, length)
-    count = ends - begin - length + 1
-    span = np.repeat(np.arange(len(raw)), count)
-    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    start = frame["start"].to_numpy()[span] + inner
-    uid = frame["uid"].to_numpy()[span]
-    where = begin[span] + inner
-    order = np.lexsort((start, uid, bucket[where]))
-    b, u, s = bucket[where][order], uid[order], start[order]
+    bucket = refine(data, np.repeat(ends, sizes), length).astype(np.int32)
+    # a span's place among the spans in order of document and start; several may be of one document
+    uid, at = frame["uid"].to_numpy(), frame["start"].to_numpy()
+    count = sizes - length + 1
+    span = np.repeat(np.arange(len(raw), dtype=np.int32), count)
+    inner = np.arange(len(span), dtype=np.int32) - np.repeat(np.cumsum(count, dtype=np.int32) - count, count)
+    where = (ends - sizes)[span] + inner
+    start = at[span] + inner
+    documents, document = np.unique(uid, return_inverse=True)
+    document = document.astype(np.int32)[span]
+    order = np.lexsort((start, document, bucket[where])).astype(np.int32)
+    b, u, s = bucket[where[order]], document[order], start[order]
     new = np.concatenate([[True], b[1:] != b[:-1]])
     # the same window may come twice where a long text was cut: an equal place is no repeat of itself
-    first = np.maximum.accumulate(np.where(new, np.arange(len(b)), 0))
+    first = np.maximum.accumulate(np.where(new, np.arange(len(b), dtype=np.int32), 0))
     repeat = (u != u[first]) | (s != s[first])
-    out = pd.DataFrame({"uid": u, "start": s, "repeat": repeat, "split": frame["parts"].to_numpy()[span][order] > 1})
-    w = where[order]
-    keep = new & out["split"].to_numpy()
-    for name, seed in (("w1", 3), ("w2", 4)):
+    heads = new & (frame["parts"].to_numpy()[span[order]] > 1)
+    w = where[order[heads]]
+    hashes = []
+    for seed in (3, 4):
         hasher = range_hash(seed)
-        out[name] = np.int64(0)
-        prefix = hasher.prefix(data)
-        out.loc[keep, name] = mix(hasher.ranges(prefix, w[keep], w[keep] + length)).view(np.int64)
-    return out[out["repeat"] | keep]
+        hashes.append(mix(hasher.ranges(hasher.prefix(data), w, w + length)).view(np.int64))
+    u_head, s_head = u[heads], s[heads]
+    u, s = u[repeat], s[repeat]
+    by_place = np.lexsort((s, u))
+    u, s = u[by_place], s[by_place]
+    cut = np.flatnonzero(np.concatenate([np.ones(min(len(u), 1), bool), (u[1:] != u[:-1]) | (s[1:] > s[:-1] + 1)]))
+    last = np.append(cut[1:], len(u))[: len(cut)] - 1
+    nothing = np.zeros(len(cut), np.int64)
+    return pd.DataFrame(
+        {
+            "uid": documents[np.concatenate([u[cut], u_head])],
+            "start": np.concatenate([s[cut], s_head]),
+            "n": np.concatenate([s[last] - s[cut] + 1, np.zeros(len(u_head), np.int64)]),
+            "w1": np.concatenate([nothing, hashes[0]]),
+            "w2": np.concatenate([nothing, hashes[1]]),
+        }
+    )
 
 
 def _sorted_groups(length: int):
@@ -250,14 +268,14 @@ def repeated_windows(texts: DataFrame, scratch: Scratch, length: int = 100) -> D
         .repartition("group")
         .sortWithinPartitions("group")
     )
-    columns = "uid long, start long, repeat boolean, split boolean, w1 long, w2 long"
+    columns = "uid long, start long, n long, w1 long, w2 long"
     sorted_ = scratch.keep(dealt.mapInPandas(_sorted_groups(length), columns), "sorted")
     # parts of a split head: of equal windows, only the first of all parts stays
-    heads = sorted_.where("split AND NOT repeat")
+    heads = sorted_.where("n = 0")
     best = heads.groupBy("w1", "w2").agg(F.min(F.struct("uid", "start")).alias("f"), F.count("*").alias("c")).where("c > 1")
     met = heads.join(best, ["w1", "w2"]).where("uid != f.uid OR start != f.start")
     one = F.lit(1).cast("long").alias("n")
-    return copies.unionByName(sorted_.where("repeat").select("uid", "start", one)).unionByName(met.select("uid", "start", one))
+    return copies.unionByName(sorted_.where("n > 0").select("uid", "start", "n")).unionByName(met.select("uid", "start", one))
 
 
 def _runs(starts: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
