@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions import text as X
 from postmill.operators import search as S
+from postmill.operators import topk as TK
 from postmill.plans import fixtures as fx
 from postmill.plans.registry import query
 from postmill.plans.sqltext import format_text_sql, highlight_sql
@@ -262,3 +263,33 @@ def i6c(spark, sf):
 )
 def o4(spark, sf):
     return rounded(S.ranked(S.matches(stored(spark, sf), must=S.words_clause("la que")), 50))
+
+
+_BLOCKED: dict[tuple[str, str], str] = {}
+
+
+def blocked(spark, sf) -> TK.Blocks:
+    """The index in blocks, built once per application and table folder. Small blocks, since the tables are small."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BLOCKED:
+        path = new_path(spark, "blocks")
+        TK.write_blocks(S.build_index_once(docs(spark, sf)), path, buckets=8, block=50)
+        _BLOCKED[key] = path
+    return TK.Blocks(spark, _BLOCKED[key])
+
+
+@query(
+    "i11_block_max_top10",
+    f"WITH {_INDEX}, {_words_sql(['in', 'the'])}, hits AS (SELECT * FROM scored WHERE found = 2) "
+    + _TOP.format(hits="hits", limit=10, offset=0),
+)
+def i11b(spark, sf):
+    return rounded(blocked(spark, sf).top("in the").rows)
+
+
+@query(
+    "o4_block_max_one_word",
+    f"WITH {_INDEX}, {_words_sql(['que'])}, hits AS (SELECT * FROM scored) " + _TOP.format(hits="hits", limit=20, offset=10),
+)
+def o4b(spark, sf):
+    return rounded(blocked(spark, sf).top("Que", limit=20, offset=10).rows)
