@@ -118,7 +118,7 @@ def _map_type(kind: Column) -> Column:
     mapped = None
     for old, new in CROSSPOST_TYPES.items():
         mapped = F.when(kind == old, new) if mapped is None else mapped.when(kind == old, new)
-    unknown = F.concat(F.lit("No matching clause: "), F.coalesce(kind, F.lit("null")))
+    unknown = F.concat(F.lit("unknown type of repost: "), F.coalesce(kind, F.lit("null")))
     return mapped.otherwise(F.raise_error(unknown).cast("string"))
 
 

@@ -83,29 +83,32 @@ _G4 = f"""SELECT row_number() OVER (ORDER BY created, id) AS id, id AS old_id, a
 
 @query(
     "g4_current_shape",
-    f"""SELECT id, old_id, author, body, created, updated, y || '/' || id::varchar || '_1.png' AS media_url, pic1 AS media_old,
-          y || '/' || id::varchar || '_1_full.jpeg' AS full_url, w AS media_w, crossposts
-        FROM (SELECT * EXCLUDE (y, pic1), CASE WHEN pic1 IS NOT NULL THEN y END AS y, pic1,
-          len(string_split(nullif(reposts, ''), ';')) AS crossposts FROM ({_G4})) WHERE orig_url IS NOT NULL AND pic1 IS NOT NULL""",
+    f"""SELECT id, old_id, author, body, created, updated, CASE WHEN pic1 IS NOT NULL THEN y || '/' || id::varchar || '_1.png' END AS media_url, pic1 AS media_old,
+          CASE WHEN orig_url IS NOT NULL THEN y || '/' || id::varchar || '_1_full.jpeg' END AS full_url, orig_url AS full_old, w AS media_w,
+          len(string_split(nullif(reposts, ''), ';')) AS crossposts FROM ({_G4})""",
 )
 def g4(spark, sf):
     v4 = MG.to_4(MG.to_3(legacy(spark, sf).drop("pictures"), CHANNEL))
-    both = v4.where(F.col("media").isNotNull() & F.col("media_full").isNotNull())
-    return both.select(
+    return v4.select(
         "id", "old_id", "author", "body", F.col("created").cast("timestamp_ntz").alias("created"), F.col("updated").cast("timestamp_ntz").alias("updated"),
         F.col("media.url").alias("media_url"), F.col("media.old_url").alias("media_old"), F.col("media_full.url").alias("full_url"),
-        F.col("media.width").alias("media_w"), F.nullif(F.size("crosspost"), F.lit(0)).cast("bigint").alias("crossposts"),
+        F.col("media_full.old_url").alias("full_old"), F.col("media.width").alias("media_w"),
+        F.nullif(F.size("crosspost"), F.lit(0)).cast("bigint").alias("crossposts"),
     )
 
 
+# a photo known by its own id has no message id, so nothing stands behind its channel
+_CROSSPOSTS = """concat_ws(';', CASE WHEN old_repost IS NOT NULL THEN 'tg/text:old:' || old_repost END,
+   CASE WHEN tg_id IS NOT NULL THEN 'tg/text:news:' || tg_id END, CASE WHEN orig_photo IS NOT NULL THEN 'tg/media:news' END,
+   CASE WHEN pic_message IS NOT NULL THEN 'tg/media:news:' || pic_message END)"""
+
+
 @query(
     "g4_crosspost_types",
-    f"""SELECT old_id, unnest(string_split(reposts, ';')) AS crosspost FROM (SELECT id AS old_id, replace(replace({_REPOSTS}, 'telegram/photo', 'tg/media'), 'telegram/text', 'tg/text') AS reposts FROM fx_legacy
-          WHERE orig_photo IS NULL) WHERE reposts <> ''""",
+    f"SELECT old_id, unnest(string_split(reposts, ';')) AS crosspost FROM (SELECT id AS old_id, {_CROSSPOSTS} AS reposts FROM fx_legacy) WHERE reposts <> ''",
 )
 def g4b(spark, sf):
-    v3 = MG.to_3(legacy(spark, sf), CHANNEL).where(F.col("picture_original").isNull() | ~F.exists("reposts", lambda r: r["photo"].isNotNull()))
-    each = MG.to_4(v3).select("old_id", F.explode_outer("crosspost").alias("c")).where(F.col("c").isNotNull())
+    each = MG.to_4(MG.to_3(legacy(spark, sf), CHANNEL)).select("old_id", F.explode_outer("crosspost").alias("c")).where(F.col("c").isNotNull())
     return each.select("old_id", F.concat_ws(":", "c.type", "c.channel", "c.message_id").alias("crosspost"))
 
 

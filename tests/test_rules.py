@@ -238,7 +238,7 @@ def test_unknown_repost_type_fails(spark):
         "picture_original struct<url string, content_type string, dimensions array<bigint>>, "
         "reposts array<struct<type string, channel string, message_id string, photo string>>"
     )
-    with pytest.raises(PySparkException, match="No matching clause"):
+    with pytest.raises(PySparkException, match="unknown type of repost"):
         MG.to_4(spark.createDataFrame(row, schema)).collect()
 
 
