@@ -55,9 +55,9 @@ def file_listing(spark: SparkSession, root: str, name: str | None = None) -> Dat
 
 
 def file_texts(spark: SparkSession, root: str) -> DataFrame:
-    """`name, content` of small text files."""
+    """`name, content` of small text files. An empty file has no row."""
     # the reader's own column: input_file_name() may already tell the next file of a task
-    return spark.read.option("wholetext", "true").text(root).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
+    return spark.read.text(root, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
 
 
 def parse_edits(requests: DataFrame, column: str = "json") -> DataFrame:
