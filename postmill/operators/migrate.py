@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postmill.functions.media import legacy_path
 from postmill.operators import facts as FX
 from postmill.operators.ordering import numbered
+from postmill.sources.commits import Commits
 
 TELEGRAM = T.StructType([T.StructField("message_id", T.StringType()), T.StructField("photo", T.StringType())])
 PICTURE = T.StructType(
@@ -148,3 +150,52 @@ def migrate(posts: DataFrame, version: int, steps: list[tuple[int, Callable[[Dat
 def schema_version(meta: DataFrame) -> DataFrame:
     """One row `version` from a table that may be empty; the first version is 1."""
     return meta.agg(F.coalesce(F.max("version"), F.lit(1)).cast("bigint").alias("version"))
+
+
+def stored_facts(posts: DataFrame, tx: int) -> DataFrame:
+    """The first facts of posts in the current shape. A post is the entity of its id; media and crossposts are numbered after the posts."""
+    top = posts.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    most = posts.agg(F.coalesce(F.max(F.size("crosspost")), F.lit(0))).scalar()
+    owned = posts.withColumn("first", top + 1 + (F.col("id") - 1) * (most + 2)).withColumn("e", F.col("id"))
+    held = owned.withColumns(
+        {
+            "media_ref": F.when(F.col("media").isNotNull(), F.col("first")),
+            "full_ref": F.when(F.col("media_full").isNotNull(), F.col("first") + 1),
+            "crosspost_refs": F.transform("crosspost", lambda _, i: F.col("first") + 2 + i),
+        }
+    )
+    return FX.facts_of_posts(held, tx)
+
+
+class Journal:
+    """A chain of migrations over stored tables, with the version reached.
+
+    A step gets the table that the step before left and returns the next one, of any shape. It is written to a folder of its own and becomes current by
+    one published file that also has the new version; a step that fails leaves the version before it as it is, and the next
+    run goes on there. A run with nothing left to do reads nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.commits = Commits(spark, f"{self.path}/versions")
+
+    def version(self) -> int:
+        return (self.commits.latest() or {"version": 0})["version"]
+
+    def table(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{self.commits.latest()['table']}")
+
+    def keep(self, table: DataFrame, version: int) -> bool:
+        """Makes a table the given version; False if that version is there already."""
+        name = f"table-{uuid.uuid4().hex}"
+        table.write.parquet(f"{self.path}/{name}")
+        return self.commits.publish(version, {"version": version, "table": name})
+
+    def run(self, steps: list[tuple[int, Callable[[DataFrame], DataFrame]]]) -> list[int]:
+        """Applies each step above the stored version, in order. Returns the versions it reached."""
+        reached = []
+        for target, step in steps:
+            if self.version() < target:
+                self.keep(step(self.table()), target)
+                reached.append(target)
+        return reached

@@ -9,6 +9,7 @@ from postmill.operators import migrate as MG
 from postmill.operators.ordering import numbered
 from postmill.plans import fixtures as fx
 from postmill.plans.registry import query
+from postmill.session import new_path
 
 CHANNEL = "news"
 
@@ -169,3 +170,32 @@ def g6(spark, sf):
     return out.select("id", F.array_join(text, ";").alias("reposts"), F.lit(version).cast("bigint").alias("version"))
 
 
+def chain():
+    """All steps from the first version to the last: legacy posts, then posts in the current shape as facts, then renamed media."""
+
+    def to_5(facts):
+        changes, _ = MG.to_5(facts, tx=2)
+        return facts.unionByName(changes)
+
+    return [(2, MG.to_2), (3, lambda posts: MG.to_3(posts, CHANNEL)), (4, lambda posts: MG.stored_facts(MG.to_4(posts), tx=1)), (5, to_5)]
+
+
+@query(
+    "g6_full_chain",
+    f"""WITH p AS (SELECT row_number() OVER (ORDER BY created, id) AS id, id AS old_id, body, year(created)::varchar AS y, pic1, orig_url,
+          concat_ws(';', CASE WHEN old_repost IS NOT NULL THEN 'tg/text:' || old_repost END, CASE WHEN tg_id IS NOT NULL THEN 'tg/text:' || tg_id END,
+            CASE WHEN orig_photo IS NOT NULL THEN 'tg/media' END) AS crossposts FROM fx_legacy)
+        SELECT id, old_id, body, CASE WHEN pic1 IS NOT NULL THEN y || '/' || id::varchar || '.png' END AS media_url, pic1 AS media_old,
+          CASE WHEN orig_url IS NOT NULL THEN y || '/' || id::varchar || '_full.jpeg' END AS full_url, crossposts, 5::bigint AS version, 0::bigint AS again FROM p""",
+)
+def g6b(spark, sf):
+    """Versions 1 to 5 as a stored chain; the second run has nothing to do."""
+    journal = MG.Journal(spark, new_path(spark, "migrations"))
+    journal.keep(legacy(spark, sf), 1)
+    journal.run(chain())
+    again = len(journal.run([(v, None) for v, _ in chain()]))
+    text = F.transform("crosspost", lambda c: F.concat_ws(":", c["type"], c["message_id"]))
+    return FX.snapshot(journal.table()).select(
+        "id", "old_id", "body", F.col("media.url").alias("media_url"), F.col("media.old_url").alias("media_old"), F.col("media_full.url").alias("full_url"),
+        F.coalesce(F.array_join(text, ";"), F.lit("")).alias("crossposts"), F.lit(journal.version()).cast("bigint").alias("version"), F.lit(again).cast("bigint").alias("again"),
+    )
