@@ -17,7 +17,7 @@ from postmill.operators.ordering import numbered
 from postmill.session import new_path, remove
 
 
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
