@@ -39,12 +39,22 @@ def docs(spark, sf):
     return fx.fx_posts(spark, sf).select("id", "created", "body")
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple, str] = {}
+
+
+def _key(spark, sf) -> tuple:
+    """The application, and the names, sizes and times of the files behind the posts: an index of older files is not used."""
+    files = []
+    for name in ("documents", "labels"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+        listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+        files += [(str(x.getPath()), x.getLen(), x.getModificationTime()) for x in listed]
+    return (spark.sparkContext.applicationId, *sorted(files))
 
 
 def stored(spark, sf) -> S.Index:
-    """The index of all posts, built once per application and table folder."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The index of all posts, built once per application and state of the tables."""
+    key = _key(spark, sf)
     if key not in _STORED:
         path = new_path(spark, "index")
         S.write_index(S.build_index_once(docs(spark, sf)), path)
@@ -265,12 +275,12 @@ def o4(spark, sf):
     return rounded(S.ranked(S.matches(stored(spark, sf), must=S.words_clause("la que")), 50))
 
 
-_BLOCKED: dict[tuple[str, str], str] = {}
+_BLOCKED: dict[tuple, str] = {}
 
 
 def blocked(spark, sf) -> TK.Blocks:
-    """The index in blocks, built once per application and table folder. Small blocks, since the tables are small."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The index in blocks, built once per application and state of the tables. Small blocks, since the tables are small."""
+    key = _key(spark, sf)
     if key not in _BLOCKED:
         path = new_path(spark, "blocks")
         TK.write_blocks(S.build_index_once(docs(spark, sf)), path, buckets=8, block=50)
