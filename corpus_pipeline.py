@@ -13,7 +13,7 @@ from postmill.llm import langid, minhash, packing, suffix
 from postmill.session import new_path
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_SCORE = 0.5  # mean probability of the language below which a text is rejected
+LEAST_SCORE = 0.5  # mean probability of the language below which a text without a given one is rejected
 
 
 def _plain(docs):
@@ -28,9 +28,9 @@ def _plain(docs):
 
 
 def language(spark, docs, sf_dir):
-    """Keeps documents whose language is known with some certainty, and fills in a missing lang.
+    """Keeps documents whose language is given or known with some certainty, and fills in a missing lang.
 
-    Null and empty texts, and texts without a letter, go. Learns as the language query does; if no row is
+    Null and empty texts, and texts without a letter, go, whatever their lang. Learns as the language query does; if no row is
     labelled, only those texts go.
     """
     plain = _plain(docs)
@@ -38,7 +38,7 @@ def language(spark, docs, sf_dir):
     if network is None:
         return plain.where(F.col("text").rlike(r"\p{L}")).toDF(*docs.columns)
     found = langid.predict(plain, network, plain.columns)
-    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang").isNotNull() | (F.col("score") >= LEAST_SCORE)))
     kept = kept.withColumn("lang", F.coalesce("lang", "lang_pred"))
     return kept.select(*plain.columns).toDF(*docs.columns)
 

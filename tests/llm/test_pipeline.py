@@ -13,6 +13,8 @@ def test_whole(spark, sf):
     first = pipeline.language(spark, docs, sf).cache()
     assert first.columns == docs.columns
     assert len(texts(first)) > 0.95 * docs.count()
+    given = texts(docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")))
+    assert given and set(given) <= set(texts(first))
     second = pipeline.near_dedup(spark, first, sf).cache()
     groups = brute.groups(texts(first), 5)
     assert texts(second) == [(i, t) for i, t in texts(first) if groups[i] == i]
