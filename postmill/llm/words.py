@@ -14,7 +14,7 @@ import numpy as np
 
 from postmill.llm.hashing import kept
 
-HELD = 1_000_000  # words whose ids a worker process keeps before it starts anew
+HELD = 300_000  # words whose ids a worker process keeps before it starts anew
 # White space for Python but not for the tokenizer: texts with these are split at spaces and line feeds only.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 # Words of this alphabet are cut as the tokenizer cuts them; it has one lower-case form per letter and no marks to compose.
