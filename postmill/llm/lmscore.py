@@ -1,10 +1,15 @@
 """Documents scored by the cross-entropy difference of two n-gram models.
 
 Bigram models of a target part and of the whole corpus (the background) are estimated in the same way over one shared
-vocabulary: words are lower-cased, and words, contexts and word pairs are counted by 64-bit keys of their own, for both alike. The
-background's counts are scaled to the target's number of words, so that smoothing weighs on both equally. A word's loss is
--log2 of an even mix of its share behind the word before it, its share anywhere, and 1 / WORDS. A document's score is its mean loss in the
-target minus that in the background: the lower, the more it reads like the target.
+vocabulary: words are lower-cased, and words, contexts and word pairs are counted by 64-bit keys of their own, for both alike.
+
+A word's share is (count + WORD_PRIOR / WORDS) / (number of words + WORD_PRIOR), and behind the word before it
+(pair count + PAIR_PRIOR * share) / (context count + PAIR_PRIOR); its loss is -log2 of the latter. The models are matched: the background's
+counts are multiplied by the target's number of words over the corpus's, so that the priors weigh on both equally, whatever part of
+the corpus is the target. No document counts for itself: its own words and pairs are taken out of both models before it is scored (out of
+the target only if it is in it), so being in the target is no merit. Copies of it elsewhere do count. A document's
+score is its mean loss in the target minus that in the background: the lower, the more it reads like the target. All scores shift upwards
+alike where the target is small, since it knows fewer pairs than the corpus: scores are to be compared with each other, not with 0.
 
 The counts grow with the corpus: no table of them is held anywhere. Documents are cut into chunks of bounded size. A chunk asks for
 each of its distinct keys once, with its own counts, so a key has as many rows as there are chunks at most; buckets of keys, of
@@ -24,7 +29,7 @@ from postmill.llm.hashing import U64, mix, range_hash
 from postmill.llm.rows import Scratch
 
 WORDS = 1 << 17  # the uniform share is one of so many words, whatever the corpus has
-PARTS = (0.5, 0.4, 0.1)  # pair, word, uniform
+WORD_PRIOR, PAIR_PRIOR = 1000.0, 20.0  # counts that the uniform share and the share anywhere stand for
 CHUNK_WORDS, CHUNK_ROWS = 1 << 19, 50_000
 BUCKET_WORDS, LEAST_BITS = 1 << 21, 8  # words of the corpus a bucket of keys; 2^LEAST_BITS buckets at least
 _WORD, _CONTEXT = U64(0x9E6C63D0876A9A47), U64(0xC2B2AE3D27D4EB4F)  # set words and contexts apart from pairs
@@ -99,7 +104,8 @@ class Chunk:
         words, self.at = np.frombuffer(row["words"], U64), _numbers(row["at"], 4)
         self.first = np.cumsum(self.sizes) - self.sizes
         self.filled = np.flatnonzero(self.sizes)
-        self.target = np.repeat(np.frombuffer(row["chosen"], bool), self.sizes)
+        self.chosen = np.frombuffer(row["chosen"], bool)
+        self.target = np.repeat(self.chosen, self.sizes)
         start = len(words)  # the start of a text counts as a word
         self.before = np.concatenate([[start], self.at[:-1]])[: len(self.at)]
         self.before[self.first[self.filled]] = start
@@ -121,15 +127,29 @@ class Chunk:
         marked = found[np.tile(self.target, 3)]
         return np.bincount(marked, minlength=n)[self.order], np.bincount(found, minlength=n)[self.order]
 
-    def losses(self, counts: np.ndarray, total: float, scale: float) -> np.ndarray:
-        """Mean loss of each filled document, from the whole corpus's counts of the keys."""
-        held = np.empty(len(counts))
-        held[self.order] = counts
+    def _own(self, keys: np.ndarray) -> np.ndarray:
+        """For each word of the chunk: how often its key occurs in its document."""
+        place = np.repeat(np.arange(len(self.sizes)), self.sizes) * (int(keys.max()) + 1) + keys
+        _, at, times = np.unique(place, return_inverse=True, return_counts=True)
+        return times[at]
+
+    def losses(self, target: np.ndarray, every: np.ndarray, n_target: int, n_every: int) -> tuple[np.ndarray, np.ndarray]:
+        """Mean losses of each filled document in target and background, from the whole corpus's counts of the keys."""
         a, b = self.parts
-        pairs, words, contexts = held[self.pair], held[a:b][self.at], held[b:][self.context[self.before]]
-        behind = np.where(contexts > 0, pairs / np.maximum(contexts, 1), 0)
-        share = PARTS[0] * behind + PARTS[1] * words * scale / max(total * scale, 1.0) + PARTS[2] / WORDS
-        return np.add.reduceat(-np.log2(share), self.first[self.filled]) / self.sizes[self.filled]
+        places = [self.pair, a + self.at, b + self.context[self.before]]
+        own = [self._own(k) for k in (self.pair, self.at, self.before)]
+        scale = n_target / max(n_every, 1)
+        means = []
+        for counts, total, by, counted in ((target, n_target, 1.0, self.chosen), (every, n_every, scale, np.ones(len(self.sizes), bool))):
+            held = np.empty(len(counts))
+            held[self.order] = counts
+            mine = np.repeat(counted, self.sizes)
+            pairs, words, contexts = (by * (held[p] - o * mine) for p, o in zip(places, own, strict=True))
+            rest = np.repeat(by * (total - self.sizes * counted), self.sizes)
+            share = (words + WORD_PRIOR / WORDS) / (rest + WORD_PRIOR)
+            loss = -np.log2((pairs + PAIR_PRIOR * share) / (contexts + PAIR_PRIOR))
+            means.append(np.add.reduceat(loss, self.first[self.filled]) / self.sizes[self.filled])
+        return means[0], means[1]
 
 
 _ASKED = "bucket long, chunk long, keys binary, target binary, every binary"
@@ -180,19 +200,14 @@ _SCORES = "doc_id long, n_words long, target_loss double, background_loss double
 
 
 def _scored(n_target: int, n_every: int):
-    scale = n_target / max(n_every, 1) or 1.0
-
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         held = Chunk(chunk.to_pylist()[0])
+        losses, empty = np.zeros((2, len(held.ids))), held.sizes == 0
+        if len(held.filled):
+            answers = answers.sort_by("bucket")
+            counts = (np.concatenate([_numbers(r, 8) for r in answers.column(c).to_pylist()]) for c in ("target", "every"))
+            losses[:, held.filled] = held.losses(*counts, n_target, n_every)
         columns = [pa.array(held.ids, pa.int64()), pa.array(held.sizes)]
-        losses = []
-        answers = answers.sort_by("bucket")
-        for name, total, by in (("target", n_target, 1.0), ("every", n_every, scale)):
-            loss, empty = np.zeros(len(held.ids)), held.sizes == 0
-            if len(held.filled):
-                counts = np.concatenate([_numbers(r, 8) for r in answers.column(name).to_pylist()])
-                loss[held.filled] = held.losses(counts, total, by)
-            losses.append(loss)
         columns += [pa.array(x, mask=empty) for x in (*losses, losses[0] - losses[1])]
         return pa.table(columns, names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
 
@@ -203,7 +218,7 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss and score of each row of `docs`.
 
     `target_ids` has the doc_id of documents that are the target; repeated and null ones are no matter. Null, empty
-    and blank texts have no words and null losses. Without any target every score is that of the uniform model.
+    and blank texts have no words and null losses. Without any target every loss is that of the uniform model, and every score 0.
     """
     scratch = Scratch(docs.sparkSession)
     chosen = target_ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))

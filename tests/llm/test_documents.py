@@ -323,58 +323,101 @@ def test_language_edges(spark, frame, edges):
 
 
 def test_scores(frame, spark):
+    """Against models made anew for each document, from the texts of all others."""
     from collections import Counter
     from math import log2
 
-    rows = [(1, "the cat sat on the mat"), (2, "the cat ran"), (3, "Buy now buy cheap"), (4, ""), (5, None)]
+    rows = [(1, "the cat sat on the mat"), (2, "the cat ran"), (3, "Buy now buy cheap"), (4, ""), (5, None), (6, "now the mat the cat")]
     got = by_id(lmscore.score(frame(rows), frame([(1, None), (2, None), (2, None), (None, None), (99, None)])))
     tokens = {i: (t or "").lower().split() for i, t in rows}
-
-    def model(ids, scale):
-        w, p, c = Counter(), Counter(), Counter()
-        for i in ids:
-            before = ["<s>", *tokens[i][:-1]]
-            w.update(tokens[i])
-            p.update(zip(before, tokens[i], strict=False))
-            c.update(before[: len(tokens[i])])
-        total = max(sum(w.values()) * scale, 1)
-        def loss(a, b):
-            behind = p[a, b] / c[a] if c[a] else 0
-            return -log2(0.5 * behind + 0.4 * w[b] * scale / total + 0.1 / lmscore.WORDS)
-        return loss
-
     size = {i: len(t) for i, t in tokens.items()}
-    target, background = model([1, 2], 1.0), model([1, 2, 3], (size[1] + size[2]) / sum(size.values()))
-    for i in (1, 2, 3):
-        pairs = list(zip(["<s>", *tokens[i][:-1]], tokens[i], strict=True))
-        want = np.mean([target(a, b) for a, b in pairs]) - np.mean([background(a, b) for a, b in pairs])
-        assert got[i]["score"] == pytest.approx(want, abs=1e-4)
-    assert got[3]["score"] > got[1]["score"]
+    scale = (size[1] + size[2]) / sum(size.values())
+
+    def loss(i, ids, weight):
+        ids = [k for k in ids if k != i]
+        words = Counter(w for k in ids for w in tokens[k])
+        pairs = Counter(p for k in ids for p in zip(["<s>", *tokens[k]], tokens[k], strict=False))
+        n = sum(words.values()) * weight
+        losses = []
+        for a, b in zip(["<s>", *tokens[i]], tokens[i], strict=False):
+            anywhere = (words[b] * weight + 1000 / 2**17) / (n + 1000)
+            behind = sum(c for (x, _), c in pairs.items() if x == a) * weight
+            losses.append(-log2((pairs[a, b] * weight + 20 * anywhere) / (behind + 20)))
+        return sum(losses) / len(losses)
+
+    for i in (1, 2, 3, 6):
+        target, background = loss(i, [1, 2], 1), loss(i, list(tokens), scale)
+        assert got[i]["target_loss"] == pytest.approx(target, abs=1e-9)
+        assert got[i]["background_loss"] == pytest.approx(background, abs=1e-9)
+        assert got[i]["score"] == pytest.approx(target - background, abs=1e-9)
+    assert got[3]["score"] > got[2]["score"]
     assert got[4]["score"] is None and got[5]["n_words"] == 0
 
 
+def test_scores_without_target(frame):
+    rows = [(1, "a b c"), (2, "a b"), (3, None)]
+    got = by_id(lmscore.score(frame(rows), frame([])))
+    assert got[1]["score"] == got[2]["score"] == 0 and got[1]["target_loss"] == pytest.approx(17)
+    alone = by_id(lmscore.score(frame(rows[:1]), frame([(1, None)])))
+    assert alone[1]["target_loss"] == alone[1]["background_loss"] == pytest.approx(17)
+
+
+def test_scores_are_matched(frame):
+    """Where target and corpus are prose of one kind, being in the target is no merit, whatever its share of the corpus."""
+    import random
+
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(rng.choices(words, range(1, 301), k=60))) for i in range(1000)]
+    for step in (2, 10):
+        got = by_id(lmscore.score(frame(rows), frame([(i, None) for i in range(0, 1000, step)])))
+        inside, outside = ([r["score"] for i, r in got.items() if (i % step == 0) == own] for own in (True, False))
+        assert abs(np.mean(inside) - np.mean(outside)) < 0.05
+
+
+def test_scores_of_held_out_texts(frame, spark, sf):
+    """Learned from half of the good texts, the others score below the bad ones, and about as those learned from."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    times = {}
+    for t in texts.values():
+        times[t] = times.get(t, 0) + 1
+    good = [i for i, q in sorted(quality.items()) if q == 1 and i in texts and times[texts[i]] == 1]
+    got = by_id(lmscore.score(docs, frame([(i, None) for i in good[::2]])))
+    mean = lambda ids: np.mean([got[i]["score"] for i in ids if got[i]["score"] is not None])
+    bad = [i for i, q in quality.items() if q == 0 and i in texts]
+    scores = learned, held_out, worst = mean(good[::2]), mean(good[1::2]), mean(bad)
+    assert held_out < worst, scores
+    assert abs(learned - held_out) < (worst - held_out) / 2, scores
+    pairs = [(got[g]["score"], got[b]["score"]) for g in good[1::2] for b in bad if got[g]["score"] is not None and got[b]["score"] is not None]
+    assert np.mean([g < b for g, b in pairs]) > 0.7, (np.mean([g < b for g, b in pairs]), scores)
+
+
 def test_scores_of_many_words(frame, monkeypatch):
     """More pairs than any fixed table has cells, in several chunks: rare words keep the counts of their own."""
     monkeypatch.setattr(lmscore, "CHUNK_WORDS", 1 << 17, raising=False)
     n = 1_000_000
     rows = [(i, " ".join(f"w{k}" for k in range(i * n // 20, (i + 1) * n // 20))) for i in range(20)]
     rows += [(20, "rare words mark this"), (21, "rare words mark this"), (22, "other words fill that")]
-    got = by_id(lmscore.score(frame(rows), frame([(20, None)])))
-    total = n + 12
-    # target: every pair has share 1 behind its word, every word a quarter
-    uniform = 0.1 / lmscore.WORDS
-    target = -np.log2(0.5 + 0.4 / 4 + uniform)
-    assert got[20]["target_loss"] == got[21]["target_loss"] == pytest.approx(target, abs=1e-9)
-    behind = [2 / 23, 1, 2 / 3, 1]  # start of 23 texts; "words" comes behind two words, and before two
-    word = [2 / total, 3 / total, 2 / total, 2 / total]
-    background = np.mean([-np.log2(0.5 * b + 0.4 * w + uniform) for b, w in zip(behind, word, strict=True)])
+    got = by_id(lmscore.score(frame(rows), frame([(20, None), (21, None)])))
+
+    def loss(pairs, behind, words, total):
+        share = (np.array(words) + 1000 / 2**17) / (total + 1000)
+        return -np.log2((np.array(pairs) + 20 * share) / (np.array(behind) + 20)).mean()
+
+    # without its own words, the target of 20 is 21
+    assert got[20]["target_loss"] == pytest.approx(loss([1] * 4, [1] * 4, [1] * 4, 4), abs=1e-9)
+    by = 8 / (n + 12)
+    rest = by * (n + 8)
+    background = loss([by] * 4, [22 * by, by, 2 * by, by], [by, 2 * by, by, by], rest)
     assert got[20]["background_loss"] == pytest.approx(background, abs=1e-9)
-    # each word of these comes once, and always behind the same one
-    first, other = (-np.log2(0.5 * b + 0.4 / total + uniform) for b in (1 / 23, 1))
+    # no word of these is in another text, but texts have starts
     size = n // 20
     assert got[3]["n_words"] == size
-    assert got[3]["background_loss"] == pytest.approx((first + (size - 1) * other) / size, abs=1e-9)
-    assert got[3]["target_loss"] == pytest.approx(-np.log2(uniform), abs=1e-9)
+    share = 1000 / 2**17 / (8 + 1000)
+    first, other = -np.log2(20 * share / (2 + 20)), -np.log2(share)
+    assert got[3]["target_loss"] == pytest.approx((first + (size - 1) * other) / size, abs=1e-9)
 
 
 def test_scores_edges(frame, edges):
