@@ -13,6 +13,11 @@ MENTION = r"(?<=^|[> ])([@#])([A-Za-z0-9_\-</>]+)"
 FIRST_MENTION = r"(?:^|[> ])@([A-Za-z0-9_]+)"
 TAG = r"</?[a-z]+>"
 WORD = r"[\p{L}\p{M}\p{N}_]"
+LETTER, DIGIT = r"[\p{L}\p{M}]", r"\p{N}"
+# fixed values: signs that keep a word together between two letters, and between two digits
+BETWEEN_LETTERS, BETWEEN_DIGITS = "['‘’.:·]", "['‘’.,;]"
+# possessive, so that the matcher needs no stack however long a word is
+WORDS = f"(?:{LETTER}++(?:{BETWEEN_LETTERS}{LETTER}++)*+|{DIGIT}++(?:{BETWEEN_DIGITS}{DIGIT}++)*+|_++)++"
 # fixed values: ordered alphabet of the 6-bit text code
 ALPHABET = "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"
 # what a JavaScript-style trim removes
@@ -102,5 +107,9 @@ def encode_number(number: Column, length: int) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words: runs of letters, marks, digits and underscores."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD + "+"), F.lit(0))
+    """Lower-case words: runs of letters, marks, digits and underscores.
+
+    Apostrophes and full stops between two letters or two digits belong to the word, as do colons between letters and
+    commas and semicolons between digits: `don't`, `3.14` and `1,000` are one word each.
+    """
+    return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))

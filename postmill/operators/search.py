@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postmill.functions.text import WORD, format_text, replace_matches, tokens
+from postmill.functions.text import BETWEEN_DIGITS, BETWEEN_LETTERS, DIGIT, LETTER, WORD, WORDS, format_text, replace_matches, tokens
 from postmill.session import durable
 
 # fixed values: parameters of the ranking formula
@@ -55,10 +55,15 @@ def any_of(*parts: Clause | Group) -> Group:
     return Group(should=parts)
 
 
+_SHAPE = re.compile(f"(?:L+(?:{BETWEEN_LETTERS}L+)*|N+(?:{BETWEEN_DIGITS}N+)*|_+)+")
+
+
 def query_words(text: str) -> list[str]:
-    """The words of a text as the index has them: lower-case runs of letters, marks, digits and underscores."""
-    kept = (c if c == "_" or unicodedata.category(c)[0] in "LMN" else " " for c in text.lower())
-    return "".join(kept).split()
+    """The words of a text as the index has them."""
+    lowered = text.lower()
+    kinds = {"L": "L", "M": "L", "N": "N"}
+    shape = "".join(kinds.get(unicodedata.category(c)[0], c) for c in lowered)
+    return [lowered[m.start() : m.end()] for m in _SHAPE.finditer(shape)]
 
 
 def term(word: str, boost: float = 1.0) -> Clause:
@@ -406,14 +411,24 @@ def search(index: Index, must=(), should=(), must_not=(), limit: int = 10, offse
 # ---- highlighting --------------------------------------------------------------------------------
 
 
+def _alone(word: str) -> str:
+    """Pattern of a word that is no part of a longer one."""
+
+    def joined(end: str) -> tuple[str, str]:
+        kind = unicodedata.category(end)[0]
+        return (LETTER, BETWEEN_LETTERS) if kind in "LM" else (DIGIT, BETWEEN_DIGITS) if kind == "N" else ("(?!)", "")
+
+    (before, left), (after, right) = joined(word[0]), joined(word[-1])
+    return f"(?<!{WORD})(?<!{before}{left}){re.escape(word)}(?!{WORD})(?!{right}{after})"
+
+
 def highlight(body: Column, clauses: list[Clause]) -> Column:
     """Body with `<em>` around each word a clause matches, null when there is none. Words of a phrase
     are marked only where the phrase stands."""
-    words_re = WORD + "+"
     if all(len(c.words) == 1 for c in clauses):
         # exact words only: look for these, and check each candidate the way the index folds case
         words = [c.words[0] for c in clauses]
-        candidates = rf"(?iu)(?<!{WORD})(?:{'|'.join(re.escape(w) for w in words)})(?!{WORD})"
+        candidates = f"(?iu)(?:{'|'.join(map(_alone, words))})"
         marked = replace_matches(
             body, candidates, lambda m: F.when(F.lower(m).isin(words), F.concat(F.lit("<em>"), m, F.lit("</em>"))).otherwise(m)
         )
@@ -438,8 +453,48 @@ def highlight(body: Column, clauses: list[Clause]) -> Column:
             words, lambda w, i: F.when(hit(lowered, w, i), F.concat(F.lit("<em>"), w, F.lit("</em>"))).otherwise(w)
         )
 
-    gaps = F.split(body, words_re, -1)
-    found = F.regexp_extract_all(body, F.lit(words_re), F.lit(0))
+    gaps = F.split(body, WORDS, -1)
+    found = F.regexp_extract_all(body, F.lit(WORDS), F.lit(0))
     marked = F.transform(F.array(found), mark)[0]
     joined = F.array_join(F.zip_with(gaps, marked, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
     return F.when(joined != body, joined)
+
+
+def fragment(body: Column, first: Column, last: Column) -> Column:
+    """The text from word `first` to word `last`, both counted from 0, with all that stands between."""
+    gaps = F.split(body, WORDS, -1)
+    words = F.regexp_extract_all(body, F.lit(WORDS), F.lit(0))
+    between = F.concat(F.array(F.lit("")), F.slice(gaps, first + 2, F.greatest(last - first, F.lit(0))))
+    return F.array_join(F.zip_with(between, F.slice(words, first + 1, last - first + 1), lambda gap, word: F.concat(gap, word)), "")
+
+
+def best_fragments(index: Index, found: DataFrame, text: str, size: int = 40) -> DataFrame:
+    """`id, first, last, weight` for each post of `found`: its best run of at most `size` words that starts with a word of `text`.
+
+    A run weighs the rarity of each different word of `text` that it has. Among equals, the one with more of them
+    in all, then the earliest. Positions come from the postings of these words: no body is read. Posts without any of them have no row.
+    """
+    words = list(dict.fromkeys(query_words(text)))
+    if not words:
+        return found.limit(0).select("id", *[F.lit(0).cast("int").alias(c) for c in ("first", "last")], F.lit(0.0).alias("weight"))
+    own = _postings_of(index, words, []).select("id", "term", "dl", "positions").join(found.select("id").distinct(), "id", "left_semi")
+    hits = own.select("id", "term", "dl", F.explode("positions").alias("pos"))
+    run = Window.partitionBy("id").orderBy("pos").rangeBetween(0, size - 1)
+    t = F.col("term")
+    counted = index.postings.select("term", F.lit(1).alias("df")) if index.terms is None else index.terms.select("term", "df")
+    sums = [F.sum(F.when(t == w, F.col("df")).otherwise(0)).alias(f"df{i}") for i, w in enumerate(words)]
+    dfs = counted.where(t.isin(*words)).agg(F.struct(*sums).alias("d")).scalar()
+    n = (index.docs.agg(F.count("*").alias("n")) if index.totals is None else index.totals.agg(F.max("n").alias("n"))).scalar()
+    seen = [F.max(F.when(t == w, 1)).over(run).alias(f"has{i}") for i, w in enumerate(words)]
+    runs = hits.select("id", "dl", "pos", F.count("*").over(run).alias("hits"), *seen).withColumns({"dfs": dfs, "n": n})
+    weight = F.lit(0.0)
+    for i in range(len(words)):
+        df = F.col(f"dfs.df{i}")
+        weight = weight + F.when(F.col(f"has{i}") == 1, F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))).otherwise(0.0)
+    runs = runs.select("id", "dl", "pos", "hits", weight.alias("weight"))
+    order = F.struct("weight", "hits", -F.col("pos"))
+    best = runs.groupBy("id").agg(F.max("dl").alias("dl"), F.max(order).alias("best"))
+    first = (-F.col("best.col3")).cast("int")
+    return best.select("id", first.alias("first"), F.least(first + size, F.col("dl")).cast("int").alias("end"), F.col("best.weight").alias("weight")).select(
+        "id", "first", (F.col("end") - 1).alias("last"), "weight"
+    )

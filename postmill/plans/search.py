@@ -9,10 +9,10 @@ from postmill.operators import search as S
 from postmill.operators import topk as TK
 from postmill.plans import fixtures as fx
 from postmill.plans.registry import query
-from postmill.plans.sqltext import format_text_sql, highlight_sql
+from postmill.plans.sqltext import WORDS, format_text_sql, highlight_sql
 from postmill.session import new_path
 
-_TOKENS = "regexp_extract_all(lower(body), '[\\p{L}\\p{M}\\p{N}_]+')"
+_TOKENS = f"regexp_extract_all(lower(body), '{WORDS}')"
 _WORDS = f"SELECT id, created, unnest(t) AS term, unnest(range(len(t))) AS pos, len(t) AS dl FROM (SELECT id, created, {_TOKENS} AS t FROM fx_posts)"
 _INDEX = f"""w AS ({_WORDS}),
  docs AS (SELECT id, epoch_us(created) // 1000000 AS created_s, len({_TOKENS}) AS dl FROM fx_posts),
@@ -240,6 +240,45 @@ def i12(spark, sf):
     return docs(spark, sf).select("id", S.highlight(F.col("body"), S.words_clause("in the")).alias("marked"))
 
 
+_JOINED = """WITH fx_signs AS (SELECT id, created, replace(replace(body, ' the ', ' the''s 3.14 '), ' und ', ' und:so 1,000;5 a.b2.5 ') AS body FROM fx_posts)"""
+
+
+@query("i3_words_with_signs", f"{_JOINED} SELECT id, array_to_string({_TOKENS}, ' ') AS words FROM fx_signs")
+def i3b(spark, sf):
+    """Every post, with words that hold signs put into it."""
+    body = F.replace(F.replace("body", F.lit(" the "), F.lit(" the's 3.14 ")), F.lit(" und "), F.lit(" und:so 1,000;5 a.b2.5 "))
+    return docs(spark, sf).select("id", F.array_join(X.tokens(body), " ").alias("words"))
+
+
+_BEST_SIZE = 12
+
+
+@query(
+    "i12_best_fragment",
+    f"""WITH {_INDEX}, hit AS (SELECT id, term, pos, dl FROM w WHERE term IN ('the', 'with')),
+        runs AS (SELECT a.id, a.pos, max(a.dl) AS dl, count(*) AS hits, bool_or(b.term = 'the') AS has0, bool_or(b.term = 'with') AS has1
+          FROM hit a JOIN hit b ON b.id = a.id AND b.pos BETWEEN a.pos AND a.pos + {_BEST_SIZE - 1} GROUP BY a.id, a.pos),
+        rare AS (SELECT coalesce(max(CASE WHEN term = 'the' THEN df END), 0) AS d0, coalesce(max(CASE WHEN term = 'with' THEN df END), 0) AS d1 FROM dfs),
+        weighed AS (SELECT id, pos, dl, hits, CASE WHEN has0 THEN ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) ELSE 0 END
+            + CASE WHEN has1 THEN ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) ELSE 0 END AS weight FROM runs, rare, stats),
+        best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, hits DESC, pos) AS k FROM weighed),
+        cut AS (SELECT b.id, b.pos AS first, least(b.pos + {_BEST_SIZE}, b.dl) - 1 AS last, round(b.weight, 6) AS weight,
+            regexp_split_to_array(p.body, '{WORDS}') AS gaps, regexp_extract_all(p.body, '{WORDS}') AS found
+          FROM best b JOIN fx_posts p ON p.id = b.id WHERE k = 1),
+        text AS (SELECT id, first, last, weight,
+            array_to_string(list_transform(range(first, last + 1), lambda i: CASE WHEN i > first THEN gaps[i + 1] ELSE '' END || found[i + 1]), '') AS part FROM cut)
+        SELECT id, cast(first AS int) AS first, cast(last AS int) AS last, weight, {highlight_sql('part', ['the', 'with'])} AS marked FROM text""",
+)
+def i12b(spark, sf):
+    """For every post with one of the words, its best fragment, marked."""
+    index = stored(spark, sf)
+    clauses = S.words_clause("with the")
+    best = S.best_fragments(index, S.matches(index, should=clauses), "the with", _BEST_SIZE)
+    part = best.join(docs(spark, sf), "id").withColumn("part", S.fragment(F.col("body"), F.col("first"), F.col("last")))
+    marked = S.highlight(F.col("part"), clauses).alias("marked")
+    return part.select("id", "first", "last", F.round("weight", 6).alias("weight"), marked)
+
+
 @query(
     "i14_result_page",
     f"""WITH {_INDEX}, {_words_sql(['in', 'the'])}, hits AS (SELECT * FROM scored WHERE found = 2), top AS ({_TOP.format(hits='hits', limit=10, offset=10)}),

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-_LINK = r"""https?://(?:www\.)?([^\s]+[^\s.,!?:;''"()\[\]{}*])"""
+from postmill.functions import text as X
+
+_LINK = X.LINK.replace("'", "''")
+# the text before a mention is part of the match here, as this engine cannot look back
 _MENTION = r"(^|[> ])([@#])([A-Za-z0-9_\-</>]+)"
 
+# one rule on both sides; this engine never backtracks, so it needs and knows no possessive forms
+WORDS = X.WORDS.replace("++", "+").replace("*+", "*").replace("'", "''")
+
 
 def interleave_sql(text: str, pattern: str, replacement: str, var: str = "z") -> str:
     """Gaps and replaced matches joined; `replacement` refers to the match as {m}."""
@@ -16,7 +22,7 @@ def interleave_sql(text: str, pattern: str, replacement: str, var: str = "z") ->
 
 
 def strip_tags_sql(text: str) -> str:
-    return f"regexp_replace({text}, '</?[a-z]+>', '', 'g')"
+    return f"regexp_replace({text}, '{X.TAG}', '', 'g')"
 
 
 def format_text_sql(text: str) -> str:
@@ -36,6 +42,5 @@ def format_text_sql(text: str) -> str:
 
 def highlight_sql(body: str, words: list[str]) -> str:
     listed = ", ".join(f"'{w}'" for w in words)
-    word = r"[\p{L}\p{M}\p{N}_]+"
-    marked = interleave_sql(body, word, f"CASE WHEN lower({{m}}) IN ({listed}) THEN '<em>' || {{m}} || '</em>' ELSE {{m}} END", "h")
+    marked = interleave_sql(body, WORDS, f"CASE WHEN lower({{m}}) IN ({listed}) THEN '<em>' || {{m}} || '</em>' ELSE {{m}} END", "h")
     return f"nullif({marked}, {body})"

@@ -305,6 +305,42 @@ def test_query_words_are_index_words(spark):
     assert term("x-y").words == ("x", "y") and phrase("").words == ()
 
 
+def test_marks_words_with_signs(spark):
+    from postmill.operators.search import any_of, highlight, phrase, prefix, term
+    from pyspark.sql import functions as F
+
+    text = "Don't, don t; 3.14 and 3.1 or 14 don't.\nDON'T"
+    row = spark.createDataFrame([(text,)], "t string")
+    marks = lambda *clauses: row.select(highlight(F.col("t"), list(clauses)).alias("m")).first().m
+    assert marks(term("don")) == text.replace(" don ", " <em>don</em> ")
+    assert marks(term("don't")) == "<em>Don't</em>, don t; 3.14 and 3.1 or 14 <em>don't</em>.\n<em>DON'T</em>"
+    assert marks(term("14")) == text.replace(" 14 ", " <em>14</em> ")
+    assert marks(prefix("3.")) == text.replace("3.14", "<em>3.14</em>").replace("3.1 ", "<em>3.1</em> ")
+    assert marks(phrase("don't don't")) == "Don't, don t; 3.14 and 3.1 or 14 <em>don't</em>.\n<em>DON'T</em>"
+    assert marks(term("1")) is None
+    assert any_of(term("3.14")).should[0].words == ("3.14",)
+
+
+def test_best_fragments(spark):
+    from postmill.operators.search import best_fragments, build_index, fragment
+    from pyspark.sql import functions as F
+
+    bodies = {
+        1: "the x x x x, the -- rare! the x",  # both words beat two common ones
+        2: "the a the the b c d the the the",  # more hits win, then the first
+        3: "nothing here",
+        4: "the q the; q q q the q the",  # equal: the first
+        5: "", 6: None, 7: "end the",
+    }
+    posts = spark.createDataFrame(list(bodies.items()), "id long, body string").withColumn("created", F.timestamp_seconds(F.lit(0)))
+    best = best_fragments(build_index(posts), posts, "the rare", 4)
+    rows = best.join(posts, "id").select("id", "first", "last", fragment(F.col("body"), F.col("first"), F.col("last")).alias("t")).collect()
+    assert {r.id: (r.first, r.last, r.t) for r in rows} == {
+        1: (5, 8, "the -- rare! the x"), 2: (0, 3, "the a the the"), 4: (0, 3, "the q the; q"), 7: (1, 1, "the"),
+    }
+    assert best_fragments(build_index(posts), posts, "?!", 4).collect() == []
+
+
 def test_blank_query_finds_nothing(spark):
     from postmill.operators.search import build_index, result_page
 
