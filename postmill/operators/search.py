@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from postmill.functions.text import BETWEEN_DIGITS, BETWEEN_LETTERS, DIGIT, LETTER, WORD, WORDS, format_text, replace_matches, tokens
+from postmill.operators.ordering import numbered
 from postmill.session import durable
 
 # fixed values: parameters of the ranking formula
 K1 = 1.2
 B = 0.75
 TERM_BUCKETS = 64
+BLOCK_TERMS = 1 << 16
+_DICTIONARY = "bucket int, term string, df bigint, cf bigint, block bigint"
 
 POSTING_COLUMNS = ["term", "id", "tf", "dl", "created_s", "positions"]
 
@@ -36,6 +39,7 @@ class Clause:
     matches: Callable[[Column], Column]
     words: tuple[str, ...] = ()  # exact words: one for a term, several for a phrase
     boost: float = 1.0
+    between: Callable[[str, str], bool] | None = None  # whether terms from the first to the second may match; None: any may
 
 
 @dataclass(frozen=True)
@@ -79,25 +83,64 @@ def phrase(text: str, boost: float = 1.0) -> Clause:
     return Clause(" ".join(words), lambda t: t.isin(*words), words, boost)
 
 
+def _starting(start: str) -> Callable[[str, str], bool]:
+    return lambda a, b: b >= start and a[: len(start)] <= start
+
+
+def near_between(word: str, distance: int, first: str, last: str) -> bool:
+    """Whether some string from `first` to `last` may be within so many edits of `word`.
+
+    Walks the edit-distance automaton along both ends. A branch strictly inside is free to go on as `word` does, so it is
+    settled by the least number of edits so far, and at most two branches are followed on.
+    """
+
+    def step(row: list[int], char: str) -> list[int]:
+        new = [row[0] + 1]
+        for i, c in enumerate(word):
+            new.append(min(row[i + 1] + 1, new[i] + 1, row[i] + (c != char)))
+        return new
+
+    def walk(row: list[int], low: str | None, high: str | None) -> bool:
+        low = low or None
+        if min(row) > distance:
+            return False
+        if low is None and (high is None or row[-1] <= distance):
+            return True
+        if high == "":
+            return False
+        # "" stands for a character that is not in the word, where there is room for one inside
+        other = [""] if not (low and high) or ord(high[0]) - ord(low[0]) > 1 else []
+        for char in sorted({*word, *(low or "")[:1], *(high or "")[:1], *other}):
+            if char and ((low and char < low[0]) or (high and char > high[0])):
+                continue
+            at_low, at_high = low if char and low and char == low[0] else None, high if char and high and char == high[0] else None
+            if walk(step(row, char), at_low and at_low[1:], at_high and at_high[1:]):
+                return True
+        return False
+
+    return walk(list(range(len(word) + 1)), first, last)
+
+
 def prefix(start: str, boost: float = 1.0) -> Clause:
     start = start.lower()
-    return Clause(start + "*", lambda t: t.startswith(start), (), boost)
+    return Clause(start + "*", lambda t: t.startswith(start), (), boost, _starting(start))
 
 
 def wildcard(pattern: str, boost: float = 1.0) -> Clause:
     """`*` stands for any run of characters, `?` for one."""
     pattern = pattern.lower()
     like = re.sub(r"([%_\\])", r"\\\1", pattern).replace("*", "%").replace("?", "_")
-    return Clause(pattern, lambda t: t.like(like), (), boost)
+    return Clause(pattern, lambda t: t.like(like), (), boost, _starting(re.split(r"[*?]", pattern)[0]))
 
 
 def fuzzy(word: str, distance: int = 2, boost: float = 1.0) -> Clause:
     word = word.lower()
-    return Clause(f"{word}~{distance}", lambda t: F.levenshtein(t, F.lit(word), distance) >= 0, (), boost)
+    return Clause(f"{word}~{distance}", lambda t: F.levenshtein(t, F.lit(word), distance) >= 0, (), boost, lambda a, b: near_between(word, distance, a, b))
 
 
 def term_range(first: str, last: str, boost: float = 1.0) -> Clause:
-    return Clause(f"[{first} TO {last}]", lambda t: t.between(first.lower(), last.lower()), (), boost)
+    first, last = first.lower(), last.lower()
+    return Clause(f"[{first} TO {last}]", lambda t: t.between(first, last), (), boost, lambda a, b: a <= last and b >= first)
 
 
 def words_clause(text: str) -> list[Clause]:
@@ -113,8 +156,9 @@ class Index:
     docs: DataFrame  # id, created_s, dl
     postings: DataFrame  # term, id, tf, dl, created_s, positions
     buckets: int | None = None  # of a stored index
-    terms: DataFrame | None = None  # bucket, term, df, cf: the dictionary of a stored index
+    terms: DataFrame | None = None  # bucket, term, df, cf, block: the dictionary of a stored index
     totals: DataFrame | None = None  # n, avg_dl: one row, of a stored index
+    blocks: tuple[tuple[int, str, str], ...] = ()  # of the dictionary: number, first and last term of each
 
 
 def _sorted_words(words: Column) -> Column:
@@ -184,8 +228,10 @@ def term_bucket(t: Column, buckets: int = TERM_BUCKETS) -> Column:
     return F.pmod(F.hash(t), F.lit(buckets))
 
 
-def write_index(index: Index, path: str, buckets: int = TERM_BUCKETS) -> None:
-    """Store the index: postings by term bucket, ordered by term and id, and a dictionary of its terms.
+def write_index(index: Index, path: str, buckets: int = TERM_BUCKETS, block: int = BLOCK_TERMS) -> None:
+    """Store the index: postings by term bucket, ordered by term and id, and a dictionary of its terms in blocks.
+
+    A block has `block` terms that follow each other in code point order, so prefixes, ranges and most wildcards need few of them.
 
     Range partitioning includes the post id, so a term found in most posts is spread over many
     tasks and files instead of landing in one; how many there are follows the size of the data.
@@ -201,17 +247,36 @@ def write_index(index: Index, path: str, buckets: int = TERM_BUCKETS) -> None:
     spark = index.docs.sparkSession
     stored = spark.read.parquet(f"{path}/postings")
     dictionary = stored.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    dictionary.sortWithinPartitions("term").write.mode("errorifexists").parquet(f"{path}/terms")
+    placed = numbered(dictionary, ["term"], "place", 0).withColumn("block", F.floor(F.col("place") / block)).drop("place")
+    placed.sortWithinPartitions("block", "term").write.partitionBy("block").mode("errorifexists").parquet(f"{path}/terms")
+    ends = spark.read.schema(_DICTIONARY).parquet(f"{path}/terms").groupBy("block").agg(F.min("term").alias("first"), F.max("term").alias("last"))
+    ends.coalesce(1).write.mode("errorifexists").parquet(f"{path}/blocks")
     index.docs.write.mode("errorifexists").parquet(f"{path}/docs")
     totals = spark.read.parquet(f"{path}/docs").agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
     totals.withColumn("buckets", F.lit(buckets)).write.mode("errorifexists").parquet(f"{path}/meta")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
+    """A stored index. The table of blocks comes to the driver: a row for each BLOCK_TERMS different terms."""
     meta = spark.read.parquet(f"{path}/meta")
     buckets = meta.first()["buckets"]
-    terms = spark.read.parquet(f"{path}/terms")
-    return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"), buckets, terms, meta.select("n", "avg_dl"))
+    terms = spark.read.schema(_DICTIONARY).parquet(f"{path}/terms")
+    blocks = tuple(tuple(r) for r in spark.read.parquet(f"{path}/blocks").select("block", "first", "last").collect())
+    docs, postings = spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings")
+    return Index(docs, postings, buckets, terms, meta.select("n", "avg_dl"), blocks)
+
+
+def dictionary_of(index: Index, words: list[str], sets: list[Clause] = ()) -> DataFrame:
+    """Dictionary rows of exact words and of terms that set clauses accept, from the blocks that may have any of them."""
+    t = F.col("term")
+    test = t.isin(*words) if words else F.lit(False)
+    for c in sets:
+        test = test | c.matches(t)
+    if not index.blocks or any(c.between is None for c in sets):
+        return index.terms.where(test)
+    wanted = [n for n, a, b in index.blocks if any(a <= w <= b for w in words) or any(c.between(a, b) for c in sets)]
+    # the numbers of blocks prune the folders that are read
+    return index.terms.where(F.col("block").isin(*wanted) if wanted else F.lit(False)).where(test)
 
 
 def upsert_index(index: Index, changed_posts: DataFrame) -> Index:
@@ -276,7 +341,7 @@ def _postings_of(index: Index, words: list[str], sets: list[Clause]) -> DataFram
     if index.terms is None:
         return index.postings.where(test)
     # the dictionary tells which terms are meant; only their postings are read on
-    return index.postings.join(index.terms.where(test).select("bucket", "term"), ["bucket", "term"], "left_semi")
+    return index.postings.join(dictionary_of(index, words, sets).select("bucket", "term"), ["bucket", "term"], "left_semi")
 
 
 def matches(
@@ -320,7 +385,7 @@ def matches(
         if index.terms is None:
             counted = index.postings.where(t.isin(*words)).select("term", F.lit(1).alias("df"))
         else:
-            counted = index.terms.where(t.isin(*words)).select("term", "df")
+            counted = dictionary_of(index, words).select("term", "df")
         df_row = counted.agg(
             F.struct(*[F.sum(F.when(t == w, F.col("df")).otherwise(0)).alias(f"df{i}") for w, i in word_slot.items()]).alias("d")
         )
@@ -481,7 +546,7 @@ def best_fragments(index: Index, found: DataFrame, text: str, size: int = 40) ->
     hits = own.select("id", "term", "dl", F.explode("positions").alias("pos"))
     run = Window.partitionBy("id").orderBy("pos").rangeBetween(0, size - 1)
     t = F.col("term")
-    counted = index.postings.select("term", F.lit(1).alias("df")) if index.terms is None else index.terms.select("term", "df")
+    counted = index.postings.select("term", F.lit(1).alias("df")) if index.terms is None else dictionary_of(index, words).select("term", "df")
     sums = [F.sum(F.when(t == w, F.col("df")).otherwise(0)).alias(f"df{i}") for i, w in enumerate(words)]
     dfs = counted.where(t.isin(*words)).agg(F.struct(*sums).alias("d")).scalar()
     n = (index.docs.agg(F.count("*").alias("n")) if index.totals is None else index.totals.agg(F.max("n").alias("n"))).scalar()

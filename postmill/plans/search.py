@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions import text as X
@@ -53,11 +56,11 @@ def _key(spark, sf) -> tuple:
 
 
 def stored(spark, sf) -> S.Index:
-    """The index of all posts, built once per application and state of the tables."""
+    """The index of all posts, built once per application and state of the tables. Small blocks, since the tables are small."""
     key = _key(spark, sf)
     if key not in _STORED:
         path = new_path(spark, "index")
-        S.write_index(S.build_index_once(docs(spark, sf)), path)
+        S.write_index(S.build_index_once(docs(spark, sf)), path, block=1 << 13)
         _STORED[key] = path
     return S.read_index(spark, _STORED[key])
 
@@ -207,6 +210,25 @@ def i9(spark, sf):
     return S.matches(stored(spark, sf), should=should)
 
 
+_LOOKUPS = {"prefix": S.prefix("ther"), "range": S.term_range("un", "und"), "wildcard": S.wildcard("in*g"), "fuzzy": S.fuzzy("there", 1)}
+
+
+@query(
+    "i8_i9_dictionary_terms",
+    rf"""WITH {_INDEX}, d AS (SELECT term, count(*) AS df, cast(sum(tf) AS bigint) AS cf FROM postings GROUP BY term)
+        SELECT 'prefix' AS clause, * FROM d WHERE term LIKE 'ther%'
+        UNION ALL SELECT 'range', * FROM d WHERE term BETWEEN 'un' AND 'und'
+        UNION ALL SELECT 'wildcard', * FROM d WHERE term LIKE 'in%g'
+        UNION ALL SELECT 'fuzzy', * FROM d WHERE levenshtein(regexp_replace(term, '[^\x00-\x7F]', '~', 'g'), 'there') <= 1""",
+)
+def i8b(spark, sf):
+    """The terms that each clause stands for, from the blocks of the dictionary that may have them."""
+    index, parts = stored(spark, sf), []
+    for name, clause in _LOOKUPS.items():
+        parts.append(S.dictionary_of(index, [], [clause]).select(F.lit(name).alias("clause"), "term", "df", "cf"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "i2_index_upsert",
     f"""WITH {_INDEX.replace("FROM fx_posts", "FROM fx_now")}""".replace(
