@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from postmill.operators import facts as FX
 from postmill.operators import publish as PB
-from postmill.operators.search import Index, POSTING_COLUMNS, build_index, term_bucket
+from postmill.operators.search import Index, POSTING_COLUMNS, build_index_once, term_bucket
+from postmill.session import dropping, durable
 from postmill.sources.store import Store
 
 
@@ -21,12 +22,14 @@ def apply_edits(store: Store, edits: DataFrame, tx: int, now: datetime) -> None:
     after a failure gives the same store.
     """
     at = F.lit(now.astimezone(timezone.utc))
-    facts = store.facts(before=tx)
-    # fold only the posts the batch touches; ids are read from their own partition of the log
-    touched = FX.facts_about(facts, edits.where("post_id is not null").select(F.col("post_id").alias("id")))
-    ids = facts.where(F.col("a") == "post/id").select(F.col("v_long").alias("id"))
-    plan = PB.publish_plan(FX.snapshot(touched), edits, now.year, ids)
-    store.append(PB.publish_facts(facts, plan, at, tx), tx)
+    with dropping(store.spark):
+        facts = store.facts(before=tx)
+        # ids, references and media of the posts that the batch touches are all it is judged by, so no stored body moves
+        slim = facts.where(~F.col("a").isin(FX.BULKY))
+        touched = durable(FX.facts_about(slim, edits.where("post_id is not null").select(F.col("post_id").alias("id"))))
+        top = facts.agg(F.max("e").alias("e"), F.max(F.when(F.col("a") == "post/id", F.col("v_long"))).alias("id")).first()
+        plan = PB.publish_plan(FX.snapshot(touched), edits, now.year, top_id=top["id"] or 0)
+        store.append(PB.publish_facts(touched, plan, at, tx, top=top["e"] or 0), tx)
 
 
 def apply_deletes(store: Store, post_ids: DataFrame, tx: int, now: datetime) -> None:
@@ -58,16 +61,17 @@ class SegmentedIndex:
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def add(self, posts: DataFrame, batch: int) -> None:
-        fresh = build_index(posts)
-        postings = fresh.postings.withColumn("bucket", term_bucket(F.col("term"), self.buckets))
-        (
-            postings.repartitionByRange("bucket", "term", "id")
-            .sortWithinPartitions("bucket", "term", "id")
-            .write.mode("overwrite")
-            .partitionBy("bucket")
-            .parquet(f"{self.path}/postings/batch={batch}")
-        )
-        fresh.docs.write.mode("overwrite").parquet(f"{self.path}/docs/batch={batch}")
+        with dropping(self.spark):
+            fresh = build_index_once(posts)
+            postings = fresh.postings.withColumn("bucket", term_bucket(F.col("term"), self.buckets))
+            (
+                postings.hint("rebalance", "bucket")
+                .sortWithinPartitions("bucket", "term", "id")
+                .write.mode("overwrite")
+                .partitionBy("bucket")
+                .parquet(f"{self.path}/postings/batch={batch}")
+            )
+            fresh.docs.write.mode("overwrite").parquet(f"{self.path}/docs/batch={batch}")
 
     def index(self) -> Index:
         """The current index. Only posts of later segments are looked up to drop what they replaced."""
