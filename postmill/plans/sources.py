@@ -13,7 +13,7 @@ from postmill.plans.listing import SITE, _SITEMAP_SQL
 from postmill.plans.migrate import legacy
 from postmill.plans.registry import ORACLE, query
 from postmill.plans.search import _INDEX, _words_sql
-from postmill.session import new_path
+from postmill.session import dropping, new_path
 from postmill.sources import files as SF
 from postmill.sources.store import Store, next_snapshot, restore_or_create
 from postmill.streaming.requests import daily_requests
@@ -109,7 +109,8 @@ def s14(spark, sf):
 )
 def s9(spark, sf):
     path = new_path(spark, "index")
-    S.write_index(S.build_index_once(fx.fx_posts(spark, sf)), path)
+    with dropping(spark):
+        S.write_index(S.build_index_once(fx.fx_posts(spark, sf)), path)
     found = S.matches(S.read_index(spark, path), must=S.words_clause("der und"))
     return found.withColumn("score", F.round("score", 6))
 
