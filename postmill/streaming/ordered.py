@@ -7,85 +7,40 @@ rules only says how one row changes the state and what it emits. Needs the Rocks
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from postmill.operators import tokens
 from postmill.operators.publish import edit_step
+from postmill.streaming.slots import SlotProcessor, folded, key_of, key_text, slot, slotted
 
 Step = Callable[[dict, dict, tuple], list[tuple]]
 
 
-class OrderedFold(StatefulProcessor):
+class OrderedFold(SlotProcessor):
     """Folds the rows of each key by `(ts_ms, seq)`.
 
     `step(state, row, key)` changes the state dictionary in place and returns output tuples.
     """
 
-    def __init__(self, fields: list[str], output: list[str], step: Step):
-        self.fields, self.output, self.step = fields, output, step
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts_ms bigint, seq bigint, row string")
-        self.state = handle.getValueState("state", "value string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = None
-        for pdf in rows:
-            new = [(int(r["ts_ms"]), int(r["seq"]), json.dumps({f: _plain(r[f]) for f in self.fields})) for r in pdf.to_dict("records")]
-            if new:
-                self.waiting.appendList(new)
-                latest = max([t for t, _, _ in new] + ([latest] if latest is not None else []))
-        if latest is not None:
-            self.handle.registerTimer(latest)
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.waiting.get())
-        due = [r for r in rows if r[0] <= passed]
-        rest = [r for r in rows if r[0] > passed]
-        if not due:
-            return iter([])
-        state = json.loads(self.state.get()[0]) if self.state.exists() else {}
-        out = []
-        for ts_ms, seq, text in due:
-            out += self.step(state, {"ts_ms": ts_ms, "seq": seq, **json.loads(text)}, key)
-        self.state.update((json.dumps(state),))
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        return iter([pd.DataFrame(out, columns=self.output)]) if out else iter([])
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        """A key's state before its first row: JSON in the column `state`."""
-        self.state.update((initialState["state"].iloc[0],))
-
-    def close(self) -> None:
-        pass
+    def __init__(self, output: list[str], step: Step):
+        self.columns, self.step = output, step
 
-
-def _plain(value):
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
-        return None
-    return value.item() if hasattr(value, "item") else value
+    def key_due(self, key, state, due, rest, passed):
+        state, out, own = state or {}, [], (key_of(key),)
+        for ts_ms, seq, text in due:
+            out += self.step(state, {"ts_ms": ts_ms, "seq": seq, **json.loads(text)}, own)
+        return out, state, rest, None
 
 
 def _fold(
     stream: DataFrame, key: str, schema: str, fields: list[str], step: Step, lateness: str, start: DataFrame | None = None
 ) -> DataFrame:
     output = [c.split()[0] for c in schema.split(", ")]
-    rows = stream.withWatermark("ts", lateness).withColumn("ts_ms", F.unix_millis("ts"))
-    return rows.groupBy(key).transformWithStateInPandas(
-        OrderedFold(fields, output, step), outputStructType=schema, outputMode="Append", timeMode="EventTime",
-        initialState=None if start is None else start.groupBy(key),
-    )
+    rows = slotted(stream.withWatermark("ts", lateness), key, fields)
+    return folded(rows, OrderedFold(output, step), schema, None if start is None else start.select(slot(key), key_text(key), "state"))
 
 
 def _token_step(state: dict, row: dict, key: tuple) -> list[tuple]:

@@ -7,70 +7,43 @@ Needs the RocksDB state store.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from postmill.streaming.slots import SlotProcessor, folded, key_of, slotted
 
 PENDING = 206
 DONE = 200
 
 
-class PollWait(StatefulProcessor):
+class PollWait(SlotProcessor):
     """One medium's wait. It is `start` (the first poll), then an outcome, then nothing for `keep_ms`, and then forgotten."""
 
     columns = ["media_id", "outcome", "ended_ms"]
+    acts_by_clock = filters = True
 
     def __init__(self, wait_ms: int, interval_ms: int, keep_ms: int):
         self.wait_ms, self.last_ms, self.keep_ms = wait_ms, wait_ms + interval_ms, keep_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.polls = handle.getListState("polls", "ts_ms bigint, seq bigint, code int")
-        self.start = handle.getValueState("start", "ts_ms bigint")
-        self.over = handle.getValueState("over", "until_ms bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(t), int(s), int(c)) for pdf in rows for t, s, c in zip(pdf["ts_ms"], pdf["seq"], pdf["code"], strict=True)]
-        if new and not self.over.exists():
-            self.polls.appendList(new)
-            self.handle.registerTimer(max(t for t, _, _ in new))
-            self.handle.registerTimer(min(t for t, _, _ in new) + self.last_ms)
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        if self.over.exists():
-            if passed >= self.over.get()[0]:
-                self.start.clear()
-                self.over.clear()
-            return iter([])
-        rows = sorted(self.polls.get())
-        due, rest = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
-        if not self.start.exists():
-            if not due:
-                return iter([])
-            self.start.update((due[0][0],))  # no earlier poll can come any more
-        start = self.start.get()[0]
-        ending = next(((t, c) for t, _, c in due if t <= start + self.last_ms and (c != PENDING or t >= start + self.wait_ms)), None)
+    def wants(self, states, key):
+        return "until" not in states.get(key, {})
+
+    def key_due(self, key, state, due, rest, passed):
+        if state and "until" in state:
+            return ([], state, [], state["until"]) if passed < state["until"] else ([], None, [], None)
+        if not state and not due:
+            return [], None, rest, None
+        start = state["start"] if state else due[0][0]  # no earlier poll can come any more
+        codes = [(t, int(json.loads(r)["code"])) for t, _, r in due]
+        ending = next(((t, c) for t, c in codes if t <= start + self.last_ms and (c != PENDING or t >= start + self.wait_ms)), None)
         if ending is None and passed < start + self.last_ms:
-            if due and rest:
-                self.polls.put(rest)  # what was pending in time decides nothing
-            elif due:
-                self.polls.clear()
-            self.handle.registerTimer(start + self.last_ms)
-            return iter([])
+            return [], {"start": start}, rest, start + self.last_ms  # what was pending in time decides nothing
         at, code = ending or (start + self.last_ms, PENDING)
         outcome = "done" if code == DONE else "timed_out" if code == PENDING else "failed"
-        self.polls.clear()
-        self.over.update((start + self.last_ms + self.keep_ms,))
-        self.handle.registerTimer(start + self.last_ms + self.keep_ms)
-        return iter([pd.DataFrame([(key[0], outcome, at)], columns=self.columns)])
-
-    def close(self) -> None:
-        pass
+        until = start + self.last_ms + self.keep_ms
+        kept = ({"start": start, "until": until}, [], until) if passed < until else (None, [], None)
+        return [(key_of(key), outcome, at)], *kept
 
 
 def poll_outcomes(polls: DataFrame, wait_ms: int = 30_000, interval_ms: int = 1_000, keep_ms: int = 86_400_000, lateness: str = "10 minutes") -> DataFrame:
@@ -80,65 +53,37 @@ def poll_outcomes(polls: DataFrame, wait_ms: int = 30_000, interval_ms: int = 1_
     that no poll has ended one poll `interval_ms` after the wait timed out at that moment, whether polls go on or stop.
     Polls up to `keep_ms` after that change nothing; later ones would start a new wait.
     """
-    rows = polls.withWatermark("ts", lateness).withColumn("ts_ms", F.unix_millis("ts"))
-    return rows.groupBy("media_id").transformWithStateInPandas(
-        PollWait(wait_ms, interval_ms, keep_ms), outputStructType="media_id string, outcome string, ended_ms bigint", outputMode="Append", timeMode="EventTime"
-    )
+    rows = slotted(polls.withWatermark("ts", lateness), "media_id", ["code"])
+    return folded(rows, PollWait(wait_ms, interval_ms, keep_ms), "media_id string, outcome string, ended_ms bigint")
 
 
-class Delivery(StatefulProcessor):
+class Delivery(SlotProcessor):
     """The steps of one post. Its last statuses are told when no attempt came for `idle_ms`; then it is forgotten."""
 
     columns = ["post_id", "step", "status", "attempts"]
+    acts_by_clock = True
 
     def __init__(self, retries: int, idle_ms: int):
         self.retries, self.idle_ms = retries, idle_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.attempts = handle.getListState("attempts", "ts_ms bigint, seq bigint, step bigint, ok boolean")
-        self.steps = handle.getMapState("steps", "step bigint", "tries bigint, fails bigint, done boolean")
-        self.last = handle.getValueState("last", "ts_ms bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        columns = ("ts_ms", "seq", "step", "ok")
-        new = [(int(t), int(s), int(k), bool(ok)) for pdf in rows for t, s, k, ok in zip(*(pdf[c] for c in columns), strict=True)]
-        if new:
-            self.attempts.appendList(new)
-            latest = max(t for t, *_ in new)
-            self.handle.registerTimer(latest)
-            self.handle.registerTimer(latest + self.idle_ms)
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.attempts.get())
-        due, rest = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
-        for _, _, step, ok in due:
-            tries, fails, done = self.steps.getValue((step,)) if self.steps.containsKey((step,)) else (0, 0, False)
+    def key_due(self, key, state, due, rest, passed):
+        state = state or {"last": None, "steps": {}}
+        held = {int(k): v for k, v in state["steps"].items()}
+        for _, _, text in due:
+            row = json.loads(text)
+            tries, fails, done = held.get(row["step"], (0, 0, False))
             if not done and fails < self.retries:
-                self.steps.updateValue((step,), (tries + 1, fails + (not ok), ok))
-        if due:
-            self.last.update((due[-1][0],))
-            if rest:
-                self.attempts.put(rest)
-            else:
-                self.attempts.clear()
-        if rest or not self.last.exists() or passed < self.last.get()[0] + self.idle_ms:
-            return iter([])
-        held = {k[0]: v for k, v in self.steps.iterator()}
+                held[row["step"]] = (tries + 1, fails + (not row["ok"]), bool(row["ok"]))
+        last = due[-1][0] if due else state["last"]
+        if rest or last is None or passed < last + self.idle_ms:
+            return [], {"last": last, "steps": held}, rest, None if last is None else last + self.idle_ms
         out = []
         for step, (tries, fails, done) in sorted(held.items()):
             if step > 1 and not (step - 1 in held and held[step - 1][2]):
-                out.append((key[0], step, "blocked", 0))
+                out.append((key_of(key), step, "blocked", 0))
             else:
-                out.append((key[0], step, "done" if done else "gave_up" if fails >= self.retries else "retry", tries))
-        self.steps.clear()
-        self.last.clear()
-        return iter([pd.DataFrame(out, columns=self.columns)])
-
-    def close(self) -> None:
-        pass
+                out.append((key_of(key), step, "done" if done else "gave_up" if fails >= self.retries else "retry", tries))
+        return out, None, [], None
 
 
 def delivery_outcomes(attempts: DataFrame, retries: int = 5, idle_ms: int = 86_400_000, lateness: str = "10 minutes") -> DataFrame:
@@ -146,7 +91,5 @@ def delivery_outcomes(attempts: DataFrame, retries: int = 5, idle_ms: int = 86_4
 
     A step runs until it succeeds or has failed `retries` times; it is blocked, with no attempts, if the step before it is not done.
     """
-    rows = attempts.withWatermark("ts", lateness).withColumn("ts_ms", F.unix_millis("ts"))
-    return rows.groupBy("post_id").transformWithStateInPandas(
-        Delivery(retries, idle_ms), outputStructType="post_id bigint, step bigint, status string, attempts bigint", outputMode="Append", timeMode="EventTime"
-    )
+    rows = slotted(attempts.withWatermark("ts", lateness), "post_id", ["step", "ok"])
+    return folded(rows, Delivery(retries, idle_ms), "post_id bigint, step bigint, status string, attempts bigint")
