@@ -6,7 +6,7 @@ another if merging the two pieces' text anew gives just these two. A place from
 in a bitfield and not tried again.
 
 Texts are cut where no piece contains the two characters that meet, so chunks are encoded independently and each
-distinct one once per worker process.
+distinct one once per worker process while it is met again and again.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from postmill.llm.hashing import kept
+from postmill.llm.hashing import Known, kept
 from postmill.llm.rows import bounded_batches, computed
 
 SPACE = "▁"
-HELD = 300_000  # words, chunks and pairs of pieces kept by a worker process before it starts anew
+_OTHER = "!"
+HELD = 300_000  # words, chunks and pairs of pieces kept by a worker process, half of them in each of two generations
 
 
 class Pieces:
@@ -45,13 +46,14 @@ class Pieces:
         self.score = {t: model.get_score(i) for t, i in self.id.items()}
         self.automaton = ahocorasick.Automaton()
         for t in self.id:
-            self.automaton.add_word(t, len(t))
+            if len(t) > 1:  # one character may always stand alone
+                self.automaton.add_word(t, len(t))
         self.automaton.make_automaton()
         self.pairs = {t[i : i + 2] for t in self.id for i in range(len(t) - 1)}
         self.by_word = not any(p[1] == SPACE and p[0] != SPACE for p in self.pairs)
-        self.fits: dict[tuple[str | None, str], bool] = {}
-        self.words: dict[str, tuple[str, int, str]] = {}
-        self.chunks: dict[str, list[int]] = {}
+        self.fits: Known = Known(self._fit)
+        self.words: Known = Known(self._word)
+        self.chunks: Known = Known(self._chunk)
 
     def merged(self, text: str) -> list[str]:
         """Best-scored pair first, the leftmost of equal ones, until no two neighbours form a piece."""
@@ -66,64 +68,61 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def may_follow(self, before: str | None, piece: str) -> bool:
-        key = (before, piece)
-        if key not in self.fits:
-            pieces = [piece] if before is None else [before, piece]
-            self.fits[key] = self.merged("".join(pieces)) == pieces
-        return self.fits[key]
+    def _fit(self, key: tuple[str | None, str]) -> bool:
+        """Whether the second piece may follow the first one, or begin a chunk."""
+        pieces = list(key) if key[0] is not None else [key[1]]
+        return self.merged("".join(pieces)) == pieces
 
     def split(self, chunk: str) -> list[str]:
         """Pieces of a chunk; characters without a piece stand for themselves."""
-        lengths: list[list[int]] = [[1] for _ in chunk]
-        for end, size in self.automaton.iter(chunk):  # by ascending end, so each start's lengths ascend
-            if size > 1:
-                lengths[end - size + 1].append(size)
-        fits, may_follow, n = self.fits, self.may_follow, len(chunk)
-        failed, at, out = 0, 0, []  # failed: bit i is set if nothing goes on from place i
-        rank = [len(lengths[0]) - 1] if chunk else []
+        n = len(chunk)
+        longest = [1] * n
+        if n > 1:
+            for end, size in self.automaton.iter(chunk):  # by ascending end, so the longest piece from a place comes last
+                longest[end - size + 1] = size
+        fits, known = self.fits, self.id
+        failed, at, out, size, before = 0, 0, [], longest[0] if chunk else 0, None  # failed: bit i is set if nothing goes on from place i
         while at < n:
-            before = out[-1] if out else None
-            options, r = lengths[at], rank[-1]
-            while r >= 0:
-                size = options[r]
-                if not failed >> (at + size) & 1:
-                    fit = fits.get((before, chunk[at : at + size]))
-                    if may_follow(before, chunk[at : at + size]) if fit is None else fit:
-                        break
-                r -= 1
-            if r >= 0:
-                rank[-1] = r
-                out.append(chunk[at : at + size])
+            while size:
+                piece = chunk[at : at + size]
+                if (size == 1 or piece in known) and not failed >> (at + size) & 1 and fits[before, piece]:
+                    break
+                size -= 1
+            if size:
+                out.append(piece)
+                before = piece
                 at += size
                 if at < n:
-                    rank.append(len(lengths[at]) - 1)
+                    size = longest[at]
             else:
                 failed |= 1 << at
                 if not out:
                     return self.merged(chunk)  # a vocabulary with pieces that no merges reach
-                at -= len(out.pop())
-                rank.pop()
+                size = len(out.pop())
+                at -= size
+                size -= 1
+                before = out[-1] if out else None
         return out
 
-    def ids_of(self, chunk: str) -> list[int]:
-        """Ids of a string of spaces and letters as they stand, cut where no piece can cross."""
+    def _chunk(self, chunk: str) -> str:
+        """Ids of a chunk in decimal, with a mark in front if the text decoded from them is another one."""
+        ids = []
+        for piece in self.split(chunk):
+            if piece in self.id:
+                ids.append(self.id[piece])
+            else:
+                raw = piece.encode("utf-8", "replace")
+                ids += [self.byte_id[b] for b in raw] if self.byte_id else [self.unknown]
+        return ("" if self.decode(ids, first=False) == chunk.replace(SPACE, " ") else _OTHER) + ",".join(map(str, ids))
+
+    def _word(self, word: str) -> str:
+        """The same of a word behind a space, cut where no piece can cross; whole characters are in one chunk, so chunks decode one by one."""
+        word = SPACE + word
         pairs = self.pairs
-        cuts = [0, *(i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in pairs), len(chunk)]
-        out: list[int] = []
-        for start, end in zip(cuts, cuts[1:], strict=False):
-            part = chunk[start:end]
-            if part not in self.chunks:
-                ids = []
-                for piece in self.split(part):
-                    if piece in self.id:
-                        ids.append(self.id[piece])
-                    else:
-                        raw = piece.encode("utf-8", "replace")
-                        ids += [self.byte_id[b] for b in raw] if self.byte_id else [self.unknown]
-                self.chunks[part] = ids
-            out += self.chunks[part]
-        return out
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs]
+        if not cuts:
+            return self.chunks[word]
+        return ",".join([self.chunks[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)])
 
     def decode(self, ids: list[int], first: bool = True) -> str:
         """Text of ids; `first`: they begin a text, whose first space was put there by the encoder."""
@@ -145,32 +144,35 @@ class Pieces:
         return text.replace(SPACE, " ")
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for part in self._cut(text) for i in self.ids_of(part)]
+        csv = self._csv(self._cut(text)).replace(_OTHER, "")
+        return [int(i) for i in csv.split(",")] if csv else []
 
     def _cut(self, text: str | None) -> list[str]:
-        """Words, each with the spaces before it; joined they are the text with its space in front."""
+        """Words, each with the spaces before it but the first of these; joined by that one they are the text."""
         if not text:
             return []
-        text = SPACE + text.replace(" ", SPACE)
-        return re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", text) if self.by_word else [text]
+        if not self.by_word:
+            return [text.replace(" ", SPACE)]
+        if text[0] != " " and "  " not in text and SPACE not in text:
+            return text.split(" ")
+        return [w[1:] for w in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
 
-    def _learn(self, word: str) -> tuple[str, int, str]:
+    def _csv(self, parts: list[str]) -> str:
         for held in (self.words, self.chunks, self.fits):
-            if len(held) > HELD:
-                held.clear()
-        ids = self.ids_of(word)
-        self.words[word] = found = (",".join(map(str, ids)), len(ids), self.decode(ids, first=False))
-        return found
+            held.age(HELD // 2)
+        return ",".join(map(self.words.__getitem__, parts))
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids in decimal joined by commas, and of the text decoded from them."""
-        get, learn = self.words.get, self._learn
-        found = [get(w) or learn(w) for w in self._cut(text)]
-        csv = ",".join([f[0] for f in found])
-        back = "".join([f[2] for f in found])
-        if back[:1] == " ":
-            back = back[1:]
-        return sum([f[1] for f in found]), hashlib.sha256(csv.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+        parts = self._cut(text)
+        csv = self._csv(parts)
+        if _OTHER in csv:
+            csv = csv.replace(_OTHER, "")
+            back = self.decode([int(i) for i in csv.split(",")])
+        else:
+            back = " ".join(parts).replace(SPACE, " ")
+        n = csv.count(",") + 1 if csv else 0
+        return n, hashlib.sha256(csv.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
 
 def pieces(path: str) -> Pieces:
