@@ -42,16 +42,18 @@ def pack(tokens: np.ndarray, lengths: np.ndarray, doc_ids: np.ndarray, known: np
         at += len(raw)
         return [at - len(raw), len(raw)]
 
-    x = tokens.astype(np.uint32)
+    x = tokens.astype(np.uint16 if bits <= 16 else np.uint32)
     for bit in range(bits - 1, -1, -1):
-        ones = ((x >> np.uint32(bit)) & np.uint32(1)).astype(bool)
-        blocks, counts = [], [0]
+        blocks, counts, low, high = [], [0], [], []
         for i in range(0, len(x), BLOCK_BITS):
-            part = ones[i : i + BLOCK_BITS]
-            blocks.append(add(zlib.compress(np.packbits(part).tobytes(), 1)))
-            counts.append(counts[-1] + int(part.sum()))
+            part = x[i : i + BLOCK_BITS]
+            ones = (part & x.dtype.type(1 << bit)) != 0
+            blocks.append(add(zlib.compress(np.packbits(ones).tobytes(), 1)))
+            low.append(part.compress(~ones))
+            high.append(part.compress(ones))
+            counts.append(counts[-1] + len(high[-1]))
         planes.append({"blocks": blocks, "ones": counts})
-        x = np.concatenate([x[~ones], x[ones]])
+        x = np.concatenate([x[:0], *low, *high])
     columns = {
         name: add(zlib.compress(a.astype(kind).tobytes(), 1))
         for name, a, kind in (("lengths", lengths, "<i8"), ("doc_ids", doc_ids, "<i8"), ("known", known, "u1"))
@@ -144,17 +146,22 @@ class WaveletFile:
 
     def tokens(self) -> np.ndarray:
         """All ids, by undoing the planes from the lowest to the highest."""
-        x = np.zeros(self.n, np.uint32)
+        x = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for plane in range(self.bits - 1, -1, -1):
-            blocks = [self._block(plane, i) for i in range(len(self.planes[plane]["blocks"]))]
-            self._blocks.clear()
-            ones = np.concatenate([np.zeros(0, np.uint8), *blocks]).astype(bool)
-            zeros = self._zeros(plane)
+            low, high = 0, self._zeros(plane)
             y = np.empty_like(x)
-            y[~ones] = x[:zeros]
-            y[ones] = x[zeros:] | np.uint32(1 << (self.bits - 1 - plane))
+            for i in range(len(self.planes[plane]["blocks"])):
+                ones = self._block(plane, i).view(bool)
+                part = y[i * BLOCK_BITS : i * BLOCK_BITS + len(ones)]
+                at = np.flatnonzero(~ones)
+                part[at] = x[low : low + len(at)]
+                low += len(at)
+                at = np.flatnonzero(ones)
+                part[at] = x[high : high + len(at)] | x.dtype.type(1 << (self.bits - 1 - plane))
+                high += len(at)
+            self._blocks.clear()
             x = y
-        return x
+        return x.astype(np.uint32)
 
 
 def _encoded(path: str, end_id: int):
@@ -250,7 +257,8 @@ def read_shards(files: DataFrame, folder: str) -> DataFrame:
     # one row per file, so the running total over file names is bounded by the number of files
     before = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
     placed = files.select("name", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"))
-    dealt = placed.repartition("name")
+    # by number, as files are few rows but much work: coalesced by size they would all meet in one task
+    dealt = placed.repartition(max(1, files.count()), "name")
     return dealt.mapInPandas(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

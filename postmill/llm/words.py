@@ -1,26 +1,29 @@
-"""Token ids of whole texts by the tokenizers library, with each distinct word encoded once.
+"""Token ids of whole texts by the tokenizers library, with words met lately encoded once.
 
 The vocabulary drops white space and never merges across it, so the ids of a text are those of its words
 in turn. A worker process keeps the ids of the words it has met, up to a bound, and asks the library only for the
-others.
+others. Texts of the Latin-1 alphabet are cut as the tokenizer cuts them at once, so that a word has one entry whatever its case and the
+punctuation about it.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from struct import pack
 
 import numpy as np
 
-from postmill.llm.hashing import kept
+from postmill.llm.hashing import Known, kept
 
-HELD = 300_000  # words whose ids a worker process keeps before it starts anew
+HELD = 300_000  # words whose ids a worker process keeps, half of them in each of two generations
 # White space for Python but not for the tokenizer: texts with these are split at spaces and line feeds only.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 # Words of this alphabet are cut as the tokenizer cuts them; it has one lower-case form per letter and no marks to compose.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PLAIN_TEXT = re.compile("[\\t-\\r -~À-ÖØ-öø-ÿ]+")
 # fixed value: the tokenizer's own pattern, over the lower-case letters of that alphabet
-_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_CUT = re.compile("[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\\sa-z0-9ß-öø-ÿ]+")
 # Byte-level models name bytes by characters: printable ones by their own, the others by those from 256 on.
 _OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _NAMES = {b: chr(b) for b in _OWN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_OWN)))}
@@ -35,34 +38,35 @@ class WordEncoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts = Known(self._part)
+        self.words = Known(self._word)
 
     def _part(self, part: str) -> bytes:
         """Ids of one piece that the tokenizer's pattern cuts out, from the model itself."""
         named = part if part.isascii() else part.encode().decode("latin-1").translate(_NAMES)
-        self.parts[part] = ids = np.array([t.id for t in self.model.tokenize(named)], self.dtype).tobytes()
-        return ids
+        ids = [t.id for t in self.model.tokenize(named)]
+        return pack(f"<{len(ids)}{self.dtype.char}", *ids)
 
-    def _learn(self, words: set[str]) -> None:
-        get, learn, odd = self.parts.get, self._part, []
-        for word in words:
-            if _PLAIN.fullmatch(word) and "<|" not in word:
-                self.words[word] = b"".join([get(p) or learn(p) for p in _CUT.findall(word.lower())])
-            else:
-                odd.append(word)
-        ids = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
-        self.words.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(odd, ids, strict=True))
+    def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.parts[word.lower()]
+        if _PLAIN.fullmatch(word) and "<|" not in word:
+            return b"".join(map(self.parts.__getitem__, _CUT.findall(word.lower())))
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, little-endian and `dtype` wide. Null: none."""
-        split = [[] if not t else re.split("[ \n]+", t) if _NOT_SPACE.search(t) else t.split() for t in texts]
-        if len(self.words) > HELD:
-            self.words, self.parts = {}, {}
-        known = self.words
-        self._learn({w for words in split for w in words if w not in known})
-        word = known.__getitem__
-        return [b"".join(map(word, words)) for words in split]
+        for held in (self.words, self.parts):
+            held.age(HELD // 2)
+        part, word, out = self.parts.__getitem__, self.words.__getitem__, []
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif _PLAIN_TEXT.fullmatch(text) and "<|" not in text:
+                out.append(b"".join(map(part, _CUT.findall(text.lower()))))
+            else:
+                out.append(b"".join(map(word, re.split("[ \n]+", text) if _NOT_SPACE.search(text) else text.split())))
+        return out
 
 
 def word_encoder(path: str) -> WordEncoder:

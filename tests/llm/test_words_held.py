@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import types
+from types import SimpleNamespace
+
 import brute
+import numpy as np
 import sentencepiece
 
-from postmill.llm import spm
+from postmill.llm import hashing, spm, words
 
 
 def test_pieces_of_words_in_steady_use_stay(monkeypatch):
@@ -27,3 +31,26 @@ def test_pieces_of_odd_texts_after_ageing(monkeypatch):
         ids = library.encode(text)
         assert model.encode(text) == ids and model.decode(ids) == library.decode(ids)
         assert model.digest(text)[0] == len(ids) and model.digest(text)[2] == spm.hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_ids_of_words_in_steady_use_stay(monkeypatch):
+    monkeypatch.setattr(words, "HELD", 40)
+    encoder = words.WordEncoder(brute.WORDS)
+    part, asked = encoder.parts.learn, []
+    encoder.parts.learn = lambda p: asked.append(p) or part(p)
+    texts = [f"Steady, steady w{chr(97 + i % 26)}x{chr(97 + i // 26)}q STEADY." for i in range(200)]
+    got = [encoder.encode([t])[0] for t in texts]
+    assert asked.count("steady") == 1
+    assert got == [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, encoder.dtype).tobytes() for t in texts]
+
+
+def test_workers_let_go_of_what_a_later_stage_does_not_ask_for(monkeypatch):
+    stage = SimpleNamespace(stageId=lambda: 1)
+    monkeypatch.setattr(hashing, "TaskContext", SimpleNamespace(get=lambda: stage))
+    monkeypatch.setitem(hashing.sys.modules, "_postmill_kept", types.ModuleType("_postmill_kept"))
+    made = []
+    make = lambda x: lambda: made.append(x) or x
+    assert [hashing.kept(x, make(x)) for x in "abab"] == list("abab") and made == list("ab")
+    stage.stageId = lambda: 2
+    assert [hashing.kept(x, make(x)) for x in "aca"] == list("aca") and made == list("abc")
+    assert hashing.kept("b", make("b")) == "b" and made == list("abcb")
