@@ -34,7 +34,7 @@ from postmill.llm.rows import Scratch, computed, keyed
 
 Q = 32  # bytes of a head; windows must be longer
 SHARE = 2_000  # spans of one head sorted in one task
-BLOCK = 1 << 20  # bytes hashed or sorted at once
+BLOCK = 1 << 18  # bytes hashed or sorted at once; their tables take over a hundred times that
 _RUN_BITS = 12  # windows of a span (below 2^12) are packed behind its start
 
 
