@@ -11,14 +11,17 @@ the target only if it is in it), so being in the target is no merit. Copies of i
 score is its mean loss in the target minus that in the background: the lower, the more it reads like the target. All scores shift upwards
 alike where the target is small, since it knows fewer pairs than the corpus: scores are to be compared with each other, not with 0.
 
-The counts grow with the corpus: no table of them is held anywhere. Documents are cut into chunks of bounded size. A chunk asks for
+The counts grow with the corpus: no table of them is held anywhere. Documents are cut into chunks of bounded size where they are read; which
+of them are the target is found by their ids and places alone, and a chunk gets a bit a document. A chunk asks for
 each of its distinct keys once, with its own counts, so a key has as many rows as there are chunks at most; buckets of keys, of
 which there are the more the more words there are, add the counts up and answer every chunk, and each chunk scores its documents.
+Keys are asked for, and chunks scored, in turns, so that the shuffle of one is gone before that of the next.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,7 @@ WORDS = 1 << 17  # the uniform share is one of so many words, whatever the corpu
 WORD_PRIOR, PAIR_PRIOR = 1000.0, 20.0  # counts that the uniform share and the share anywhere stand for
 CHUNK_WORDS, CHUNK_ROWS = 1 << 19, 50_000
 BUCKET_WORDS, LEAST_BITS = 1 << 21, 8  # words of the corpus a bucket of keys; 2^LEAST_BITS buckets at least
+TURNS = 3  # each asks for a share of the buckets, or scores a share of the chunks
 _WORD, _CONTEXT = U64(0x9E6C63D0876A9A47), U64(0xC2B2AE3D27D4EB4F)  # set words and contexts apart from pairs
 _SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
@@ -67,44 +71,48 @@ def _keys(raw: bytes) -> np.ndarray:
     return np.cumsum(_numbers(raw, 8).view(U64), dtype=U64)
 
 
-_CHUNK = "ids array<bigint>, sizes binary, chosen binary, words binary, at binary, n_target long, n_every long"
-_CHUNK_ARROW = pa.schema(
-    [("ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("sizes", "chosen", "words", "at")), ("n_target", pa.int64()), ("n_every", pa.int64())]
-)
+_CHUNK = "ids array<bigint>, sizes array<int>, words binary, at binary"
+_CHUNK_ARROW = pa.schema([("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("words", pa.binary()), ("at", pa.binary())])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The task's documents in chunks: ids, numbers of words, which are the target, distinct words, and the place of each word among these."""
-    ids, found, chosen, size = [], [], [], 0
+    """The task's documents in chunks: ids, numbers of words, distinct words, and the place of each word among these."""
+    ids, found, size = [], [], 0
 
     def made() -> pa.RecordBatch:
-        sizes, marks = np.array([len(f) for f in found]), np.array(chosen, bool)
         words, at = np.unique(np.concatenate(found), return_inverse=True)
-        row = [ids, _planes(sizes, 4), marks.tobytes(), words.tobytes(), _planes(at, 4), int(sizes[marks].sum()), int(sizes.sum())]
+        row = [ids, [len(f) for f in found], _gaps(words), _planes(at, 4)]
         return pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, _CHUNK_ARROW, strict=True)], schema=_CHUNK_ARROW)
 
     for batch in batches:
-        for i, text, mark in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "target")), strict=True):
+        for i, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), strict=True):
             ids.append(i)
             found.append(hashes(text))
-            chosen.append(mark)
             size += len(found[-1])
             if size >= CHUNK_WORDS or len(ids) >= CHUNK_ROWS:
                 yield made()
-                ids, found, chosen, size = [], [], [], 0
+                ids, found, size = [], [], 0
     if ids:
         yield made()
 
 
+def _marked(places: pa.Table) -> pa.Table:
+    """The documents of one chunk that are the target: a bit for each document up to the last of them, and their number of words."""
+    bits = np.zeros(max(places.column("place").to_pylist()) + 1, bool)
+    bits[places.column("place").to_numpy()] = True
+    row = [places.column("chunk")[0].as_py(), np.packbits(bits).tobytes(), sum(places.column("size").to_pylist())]
+    return pa.table([[x] for x in row], schema=pa.schema([("chunk", pa.int64()), ("chosen", pa.binary()), ("n_target", pa.int64())]))
+
+
 class Chunk:
     """Distinct keys of a chunk, ascending, and which of them belong to each of its words."""
 
     def __init__(self, row: dict):
-        self.ids, self.sizes = row["ids"], _numbers(row["sizes"], 4)
-        words, self.at = np.frombuffer(row["words"], U64), _numbers(row["at"], 4)
+        self.ids, self.sizes = row["ids"], np.array(row["sizes"], np.int64)
+        words, self.at = _keys(row["words"]), _numbers(row["at"], 4)
         self.first = np.cumsum(self.sizes) - self.sizes
         self.filled = np.flatnonzero(self.sizes)
-        self.chosen = np.frombuffer(row["chosen"], bool)
+        self.chosen = np.unpackbits(np.frombuffer(row["chosen"] or b"\0", np.uint8), count=len(self.sizes)).astype(bool)
         self.target = np.repeat(self.chosen, self.sizes)
         start = len(words)  # the start of a text counts as a word
         self.before = np.concatenate([[start], self.at[:-1]])[: len(self.at)]
@@ -156,28 +164,29 @@ _ASKED = "bucket long, chunk long, keys binary, target binary, every binary"
 _ASKED_ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("target", pa.binary()), ("every", pa.binary())])
 
 
-def _asked(bits: int):
-    """Keys and counts of each chunk, a row per bucket. A bucket is a range of keys."""
+def _asked(bits: int, turn: int):
+    """Keys and counts of each chunk, a row per bucket of this turn. A bucket is a range of keys."""
+
+    def rows(row: dict) -> pa.RecordBatch:
+        chunk = Chunk(row)
+        target, every = chunk.counts()
+        bucket = (chunk.keys >> U64(64 - bits)).astype(np.int64)
+        begin = np.flatnonzero(np.diff(bucket, prepend=-1))
+        end, mine = np.append(begin[1:], len(bucket)), bucket[begin] % TURNS == turn
+        spans = [slice(a, b) for a, b in zip(begin[mine], end[mine], strict=True)]
+        columns = [
+            pa.array(bucket[begin[mine]]),
+            pa.array(np.full(len(spans), row["chunk"], np.int64)),
+            pa.array([_gaps(chunk.keys[s]) for s in spans], pa.binary()),
+            pa.array([_planes(target[s], 4) for s in spans], pa.binary()),
+            pa.array([_planes(every[s], 4) for s in spans], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, schema=_ASKED_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                chunk = Chunk(row)
-                if not len(chunk.keys):
-                    continue
-                target, every = chunk.counts()
-                bucket = (chunk.keys >> U64(64 - bits)).astype(np.int64)
-                begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-                spans = [slice(a, b) for a, b in zip(begin, [*begin[1:], len(bucket)], strict=True)]
-                columns = [
-                    pa.array(bucket[begin]),
-                    pa.array(np.full(len(spans), row["chunk"], np.int64)),
-                    pa.array([_gaps(chunk.keys[s]) for s in spans], pa.binary()),
-                    pa.array([_planes(target[s], 4) for s in spans], pa.binary()),
-                    pa.array([_planes(every[s], 4) for s in spans], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, schema=_ASKED_ARROW)
+                yield rows(batch.slice(i, 1).to_pylist()[0])
 
     return run
 
@@ -221,14 +230,25 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     and blank texts have no words and null losses. Without any target every loss is that of the uniform model, and every score 0.
     """
     scratch = Scratch(docs.sparkSession)
-    chosen = target_ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    marked = ids.join(chosen, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    chunks = scratch.keep(marked.mapInArrow(_chunks, _CHUNK).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
-    n_target, n_every = (n or 0 for n in chunks.agg(F.sum("n_target"), F.sum("n_every")).first())
-    scratch.release()  # the shuffle of the texts goes before that of the keys comes
+    cut = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_chunks, _CHUNK)
+    chunks = scratch.keep(cut.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    chosen = target_ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    places = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", "sizes")).alias("place", "of"))
+    places = places.select("chunk", "place", F.col("of.ids").alias("doc_id"), F.col("of.sizes").alias("size")).join(chosen, "doc_id")
+    marks = scratch.keep(places.groupBy("chunk").applyInArrow(_marked, "chunk long, chosen binary, n_target long"), "marks")
+    n_target = marks.agg(F.sum("n_target")).first()[0] or 0
+    n_every = chunks.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, b) -> a + b)"))).first()[0] or 0
     bits = max(LEAST_BITS, (n_every // BUCKET_WORDS).bit_length())
+    chunks = chunks.join(marks.select("chunk", "chosen"), "chunk", "left")
     kinds = "bucket long, chunk long, target binary, every binary"
-    answers = scratch.keep(chunks.mapInArrow(_asked(bits), _ASKED).groupBy("bucket").applyInArrow(_answered, kinds), "answers")
-    scratch.release()
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored(n_target, n_every), _SCORES)
+    asked = [f"answers_{turn}" for turn in range(TURNS)]
+    answers = reduce(
+        DataFrame.unionAll,
+        [scratch.keep(chunks.mapInArrow(_asked(bits, t), _ASKED).groupBy("bucket").applyInArrow(_answered, kinds), name) for t, name in enumerate(asked)],
+    )
+    scores = []
+    for turn in range(TURNS):
+        held, told = (df.where(F.col("chunk") % TURNS == turn).groupBy("chunk") for df in (chunks, answers))
+        scores.append(scratch.keep(held.cogroup(told).applyInArrow(_scored(n_target, n_every), _SCORES), f"scores_{turn}"))
+    scratch.drop("chunks", "marks", *asked)
+    return reduce(DataFrame.unionAll, scores)

@@ -5,6 +5,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -425,6 +426,39 @@ def test_scores_edges(frame, edges):
     assert rows_of(lmscore.score(frame([]), frame([(1, None)]))) == []
 
 
+def test_scores_move_no_texts(frame, spark, monkeypatch):
+    """Texts are cut where they are read, whatever the size of the target, and keys go through the shuffle in turns."""
+    plans, keep = {}, lmscore.Scratch.keep
+
+    def seen(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(self, df, name)
+
+    monkeypatch.setattr(lmscore.Scratch, "keep", seen)
+    rows = [(i, f"w{i % 7} w{i % 5} w{i % 3}") for i in range(200)] + [(None, "w1 w2"), (3, "w3"), (900, "")]
+    target = frame([(i, None) for i in (*range(0, 200, 3), None, 900)])
+    want = rows_of(lmscore.score(frame(rows), target))
+    most = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(most)
+    spark.conf.set(most, -1)
+    try:
+        plans.clear()
+        got = rows_of(lmscore.score(frame(rows), target))
+    finally:
+        spark.conf.set(most, before)
+    assert "Exchange" not in plans["chunks"] and "Exchange" in plans["marks"]
+    order = lambda rows: sorted(map(repr, rows))
+    assert order(got) == order(want) and len(got) == len(rows)
+    keys = np.sort(lmscore.mix(np.arange(1, 4097)))
+    chunk = {"chunk": 5, "ids": [1], "sizes": [len(keys)], "words": lmscore._gaps(keys), "at": lmscore._planes(np.arange(len(keys)), 4), "chosen": b"\x80"}
+    made = [pa.Table.from_batches(lmscore._asked(8, t)([pa.RecordBatch.from_pylist([chunk])])) for t in range(lmscore.TURNS)]
+    buckets = [b for t in made for b in t.column("bucket").to_pylist()]
+    assert sorted(buckets) == sorted(set(buckets)) == list(range(256)) and max(t.num_rows for t in made) <= 86
+    asked = [lmscore._keys(raw) for t in made for raw in t.column("keys").to_pylist()]
+    every = sum(int(lmscore._numbers(raw, 4).sum()) for t in made for raw in t.column("every").to_pylist())
+    assert len(np.unique(np.concatenate(asked))) == sum(map(len, asked)) == every == 3 * len(keys)
+
+
 # 10 wavelet files
 
 
