@@ -70,24 +70,31 @@ class Shard:
     """A BM25 inverted index over some rests."""
 
     def __init__(self, rests: list[np.ndarray], idf: np.ndarray, mean: float):
-        found = [np.unique(r, return_counts=True) for r in rests]
-        self.terms = [t for t, _ in found]
-        doc = np.repeat(np.arange(len(rests)), [len(t) for t in self.terms])
-        term = np.concatenate(self.terms).astype(np.int64)
-        count = np.concatenate([c for _, c in found])
         size = np.array([len(r) for r in rests])
+        place, count = np.unique(np.repeat(np.arange(len(rests)) << 32, size) | np.concatenate(rests).astype(np.int64), return_counts=True)
+        doc, term = place >> 32, place & 0xFFFFFFFF
+        self.terms = np.split(term, np.cumsum(np.bincount(doc, minlength=len(rests)))[:-1])
         weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * size[doc] / mean))
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.known, self.begin = np.unique(term[order], return_index=True)
-        self.end = np.append(self.begin[1:], len(term))
+        self.n, self.doc, self.weight, self.term = len(rests), doc[order], weight[order], term[order]
+        self._ranges()
+
+    def _ranges(self) -> None:
+        self.begin = np.flatnonzero(np.diff(self.term, prepend=-1))
+        self.end, self.known = np.append(self.begin[1:], len(self.term)), self.term[self.begin]
+
+    def only(self, unused: np.ndarray) -> None:
+        """Lets the postings of all other rests go; the scores of these stay the same."""
+        held = unused[self.doc]
+        self.doc, self.weight, self.term = self.doc[held], self.weight[held], self.term[held]
+        self._ranges()
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.known, terms)
         at = at[(at < len(self.known)) & (self.known[np.minimum(at, len(self.known) - 1)] == terms)]
         size = self.end[at] - self.begin[at]
         where = np.arange(size.sum()) + np.repeat(self.begin[at] - (np.cumsum(size) - size), size)
-        return np.bincount(self.doc[where], self.weight[where], minlength=len(self.terms))
+        return np.bincount(self.doc[where], self.weight[where], minlength=self.n)
 
 
 def fill(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> list[list[tuple[int, int, int]]]:
@@ -95,7 +102,7 @@ def fill(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int) ->
     index = Shard(rests, idf, mean)
     unused = np.ones(len(rests), bool)
     sequences, now, room, begin = [], [], window, 0
-    seed, at = 0, 0
+    seed, at, indexed = 0, 0, len(rests)
     while True:
         if at == 0:
             while begin < len(rests) and not unused[begin]:
@@ -109,8 +116,11 @@ def fill(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int) ->
         room -= take
         at = at + take if at + take < len(rests[seed]) else 0
         if room and at == 0 and unused.any():
-            score = index.scores(index.terms[now[0][0]])
             free = np.flatnonzero(unused)
+            if len(free) < 0.8 * indexed:
+                index.only(unused)
+                indexed = len(free)
+            score = index.scores(index.terms[now[0][0]])
             ranked = free[np.argsort(-score[free], kind="stable")]
             reach = np.cumsum([len(rests[i]) for i in ranked[:window]])
             n = int(np.searchsorted(reach, room)) + 1

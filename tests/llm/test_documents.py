@@ -87,6 +87,19 @@ def test_spotsigs_similar(frame, passages):
 # 2 packing
 
 
+def test_packing_index_forgets_used_rests():
+    rng = np.random.default_rng(3)
+    rests = [rng.integers(0, 90, rng.integers(1, 60)).astype("<u2") for _ in range(80)]
+    idf = rng.random(90)
+    index, whole = packing.Shard(rests, idf, 30.0), packing.Shard(rests, idf, 30.0)
+    unused = rng.random(80) < 0.4
+    index.only(unused)
+    assert len(index.doc) < 0.6 * len(whole.doc) and set(index.doc) == set(np.flatnonzero(unused))
+    for i in range(80):
+        assert (index.scores(index.terms[i])[unused] == whole.scores(whole.terms[i])[unused]).all()
+        assert index.terms[i].tolist() == np.unique(rests[i]).tolist()
+
+
 def test_packing(frame, stored):
     brute.check_packed(rows_of(packing.pack(frame(stored), brute.WORDS)), brute.word_ids(stored))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import types
 from types import SimpleNamespace
 
@@ -44,6 +45,35 @@ def test_ids_of_words_in_steady_use_stay(monkeypatch):
     assert got == [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, encoder.dtype).tobytes() for t in texts]
 
 
+def test_pieces_are_cut_as_the_tokenizer_cuts_them():
+    rng = random.Random(4)
+    plain = [c for c in map(chr, range(256)) if words._PLAIN_TEXT.fullmatch(c)]
+    texts = ["".join(rng.choices(chars, k=rng.randint(1, 30))) for _ in range(500) for chars in (plain, 3 * "'" + " strevelmd LSDT .,19é\n\tÀÿß")]
+    texts += ["'", " ", "a'", "'s", "'r", "e", "''s", "'s's", "I'LL'd", "\t", "x" * 5000]
+    want = [words._CUT.findall(t.lower()) for t in texts]
+    counts, pieces = words.cut([t.encode("latin-1") for t in texts])
+    assert counts.tolist() == list(map(len, want))
+    assert [p.decode("latin-1") for p in pieces.to_pylist()] == [p for w in want for p in w]
+    encoder = words.WordEncoder(brute.WORDS)
+    texts += ["", None, "日本 x", "<|end|> a", "\x1c b"]
+    got = encoder.encode(texts)
+    assert got == [np.array(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, encoder.dtype).tobytes() for t in texts]
+
+
+def test_pieces_are_looked_up_once_a_batch():
+    class Counted(hashing.Known):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    encoder = words.WordEncoder(brute.WORDS)
+    encoder.parts = Counted(encoder._part)
+    assert len(encoder.encode(["one two, one " * 50, "Two ONE"] * 20)) == 40
+    assert Counted.asked == 3
+
+
 def test_workers_let_go_of_what_a_later_stage_does_not_ask_for(monkeypatch):
     stage = SimpleNamespace(stageId=lambda: 1)
     monkeypatch.setattr(hashing, "TaskContext", SimpleNamespace(get=lambda: stage))
