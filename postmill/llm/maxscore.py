@@ -4,7 +4,8 @@ A shard holds some vectors term-major: the posting list of a component is its va
 components are ordered by the most they can add in the shard. Those at the end, whose bounds together stay below the
 score that the query's k-th hit has already, are non-essential: alone they cannot make a hit. Essential postings
 are traversed for all vectors; the others are probed, a few components at a time, only for vectors that can
-still reach that score. Shards of one task pass the score on; the tasks' hits are merged by query.
+still reach that score. Queries are copied to each of a few groups of shards; the shards of a group pass the score on, and
+the groups' hits are merged by query.
 """
 
 from __future__ import annotations
@@ -13,15 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from postmill.llm.rows import Scratch
 
 SHARD, BLOCK, PROBE = 4096, 256, 8
+BAND = 32 << 20  # bytes of queries that a task holds
 SCALE = 1024
 _EXACT = float(1 << 53)
+_WITHIN = (1 << 33) - 1  # the bits of `monotonically_increasing_id` that count within a task
 
 
 def _whole(vector) -> np.ndarray | None:
@@ -102,31 +105,63 @@ def _padded(raw: bytes, n: int, dim: int) -> np.ndarray:
     return np.vstack([m, np.zeros((dim - len(m), n))]) if len(m) < dim else m
 
 
+def _scored(best: dict, shard, block, k: int) -> None:
+    """Brings the `k` best hits of a block's queries (query -> scores, ids, best first) up to date with a shard."""
+    dim = max(len(shard.matrix) // (8 * shard.n), len(block.matrix) // (8 * block.n))
+    matrix, queries = _padded(shard.matrix, shard.n, dim), _padded(block.matrix, block.n, dim)
+    ids, asked = np.frombuffer(shard.ids, np.int64), np.frombuffer(block.ids, np.int64)
+    if dim * np.abs(matrix).max(initial=0) * np.abs(queries).max(initial=0) >= _EXACT:
+        # too large for exact floating point: whole numbers of any size
+        matrix, queries = (np.vectorize(int, otypes=[object])(m) for m in (matrix, queries))
+    floor = np.array([best[a][0][-1] if a in best and len(best[a][0]) == k else -np.inf for a in asked.tolist()], object if matrix.dtype == object else float)
+    for a, (where, score) in zip(asked.tolist(), search(matrix, queries, floor, k, ids, asked), strict=True):
+        s, i = score, ids[where]
+        if a in best:
+            s, i = np.concatenate([best[a][0], s]), np.concatenate([best[a][1], i])
+        order = np.argsort(i, kind="stable")
+        order = order[np.argsort(-s[order], kind="stable")][:k]
+        best[a] = (s[order], i[order])
+
+
+def _rows(best: dict) -> Iterator[pd.DataFrame]:
+    queries = list(best)
+    for at in range(0, len(queries), SHARD):
+        rows = [(a, i, max(min(int(x), (1 << 63) - 1), -(1 << 63))) for a in queries[at : at + SHARD] for x, i in zip(*(v.tolist() for v in best[a]), strict=True)]
+        yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
+
+
 def _hits(k: int):
+    """Rows come by cell, the blocks of queries (`asks`) before the shards."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # query -> scores, ids, best first
+        cell, blocks, best = None, [], {}
         for frame in frames:
             for row in frame.itertuples(index=False):
-                dim = max(len(row.matrix) // (8 * row.n), len(row.q_matrix) // (8 * row.q_n))
-                matrix, queries = _padded(row.matrix, row.n, dim), _padded(row.q_matrix, row.q_n, dim)
-                ids, asked = np.frombuffer(row.ids, np.int64), np.frombuffer(row.q_ids, np.int64)
-                if dim * np.abs(matrix).max(initial=0) * np.abs(queries).max(initial=0) >= _EXACT:
-                    # too large for exact floating point: whole numbers of any size
-                    matrix, queries = (np.vectorize(int, otypes=[object])(m) for m in (matrix, queries))
-                floor = np.array([best[a][0][-1] if a in best and len(best[a][0]) == k else -np.inf for a in asked.tolist()], object if matrix.dtype == object else float)
-                for a, (where, score) in zip(asked.tolist(), search(matrix, queries, floor, k, ids, asked), strict=True):
-                    s, i = score, ids[where]
-                    if a in best:
-                        s, i = np.concatenate([best[a][0], s]), np.concatenate([best[a][1], i])
-                    order = np.argsort(i, kind="stable")
-                    order = order[np.argsort(-s[order], kind="stable")][:k]
-                    best[a] = (s[order], i[order])
-        rows = [(a, i, max(min(int(x), (1 << 63) - 1), -(1 << 63))) for a, (s, ids) in best.items() for x, i in zip(s.tolist(), ids.tolist(), strict=True)]
-        yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
+                if row.cell != cell:
+                    yield from _rows(best)
+                    cell, blocks, best = row.cell, [], {}
+                if row.asks:
+                    blocks.append(row)
+                    continue
+                for block in blocks:
+                    _scored(best, row, block, k)
+        yield from _rows(best)
 
     return run
 
 
+def _dealt(parts: int, most: int) -> Column:
+    """A number below `parts` of each row of a stored table: in turn, where every task that wrote it has `most` of them."""
+    turn = F.shiftright("number", 33) * most + F.col("number").bitwiseAND(_WITHIN)
+    return F.pmod(turn, F.lit(parts)).cast("int")
+
+
+def _sizes(stored: DataFrame) -> tuple[int, int, int]:
+    """Rows, bytes and the most rows of one writing task."""
+    got = stored.agg(F.count("*").alias("rows"), F.sum(F.octet_length("matrix")).alias("bytes"), F.max(F.col("number").bitwiseAND(_WITHIN)).alias("last")).first()
+    return got["rows"], got["bytes"] or 0, (got["last"] or 0) + 1
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best vectors other than its own, ties to the smaller id.
 
@@ -138,16 +173,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     scratch = Scratch(vectors.sparkSession)
     kinds = "n int, ids binary, matrix binary"
     usable = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
-    shards = scratch.keep(usable.mapInPandas(_blocks(SHARD), kinds).withColumn("shard", F.monotonically_increasing_id()), "shards")
+    shards = scratch.keep(usable.mapInPandas(_blocks(SHARD), kinds).withColumn("number", F.monotonically_increasing_id()), "shards")
     asked = queries.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     asked = asked.where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))))
     asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    blocks = asked.mapInPandas(_blocks(BLOCK), kinds).select(*(F.col(c).alias(f"q_{c}") for c in ("n", "ids", "matrix")))
-    # the stated queries go to every group of shards, in blocks
-    groups = max(1, shards.count())
-    sent = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    placed = shards.withColumn("group", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int"))
-    pairs = placed.join(sent, "group").select("n", "ids", "matrix", "q_n", "q_ids", "q_matrix")
-    hits = pairs.mapInPandas(_hits(k), "query_id long, vec_id long, score long")
+    blocks = scratch.keep(asked.mapInPandas(_blocks(BLOCK), kinds).withColumn("number", F.monotonically_increasing_id()), "queries")
+    rows, size, most = _sizes(shards)
+    _, asked_size, most_asked = _sizes(blocks)
+    # a task has the queries of one band in memory, and one shard of its group after the other; groups are so few that the copies of the queries are
+    # no more than a share of the vectors, but enough for all cores
+    bands = max(1, -(-asked_size // BAND))
+    groups = max(1, min(rows, max(2 * vectors.sparkSession.sparkContext.defaultParallelism, size // (4 * max(asked_size, 1)))))
+    held = shards.withColumn("group", _dealt(groups, most)).withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
+    sent = blocks.withColumn("band", _dealt(bands, most_asked)).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    cell = (F.col("group") * bands + F.col("band")).alias("cell")
+    both = [x.select(cell, F.lit(asks).alias("asks"), "n", "ids", "matrix") for x, asks in ((sent, True), (held, False))]
+    cells = both[0].unionByName(both[1]).repartitionById(groups * bands, "cell").sortWithinPartitions("cell", F.desc("asks"))
+    hits = cells.mapInPandas(_hits(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

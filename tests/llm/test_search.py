@@ -59,3 +59,22 @@ def test_pruning_keeps_all_that_reach_the_floor():
     floor = np.sort(exact, axis=1)[:, -10]
     for row, least, (alive, score) in zip(exact, floor, maxscore.search(matrix, queries, floor, 10), strict=True):
         assert set(alive) == set(np.flatnonzero(row >= least)) and (score == row[alive]).all()
+
+
+def test_queries_are_not_sent_through_the_driver(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).round(2).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = maxscore.top_k(df, df.where("vec_id % 100 = 0"))
+    assert len(found.collect()) == 30
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+
+
+def test_bands_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(maxscore, "BAND", 1)
+    monkeypatch.setattr(maxscore, "SHARD", 30)
+    monkeypatch.setattr(maxscore, "BLOCK", 2)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(400)]
+    assert got(spark, rows) == want(rows)
