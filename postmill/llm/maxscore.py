@@ -179,10 +179,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     blocks = scratch.keep(asked.mapInPandas(_blocks(BLOCK), kinds).withColumn("number", F.monotonically_increasing_id()), "queries")
     rows, size, most = _sizes(shards)
-    _, asked_size, most_asked = _sizes(blocks)
+    pieces, asked_size, most_asked = _sizes(blocks)
     # a task has the queries of one band in memory, and one shard of its group after the other; groups are so few that the copies of the queries are
     # no more than a share of the vectors, but enough for all cores
-    bands = max(1, -(-asked_size // BAND))
+    bands = max(1, min(pieces, -(-asked_size // BAND)))
     groups = max(1, min(rows, max(2 * vectors.sparkSession.sparkContext.defaultParallelism, size // (4 * max(asked_size, 1)))))
     held = shards.withColumn("group", _dealt(groups, most)).withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
     sent = blocks.withColumn("band", _dealt(bands, most_asked)).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
