@@ -1,6 +1,7 @@
 """Class-conditional models against sums over dictionaries, and held-out labels."""
 
 import math
+import pickle
 import random
 import re
 import zlib
@@ -186,3 +187,48 @@ def test_curve_from_sums(spark):
     y = (rng.random(300) < 1 / (1 + np.exp(-(x @ [1.5, -1] + 0.2)))).astype(int)
     rows = spark.createDataFrame([(*map(float, r), int(k)) for r, k in zip(x, y, strict=True)], "a double, b double, y int")
     assert np.allclose(toxicity.logistic_of(rows, ["a", "b"], "y"), toxicity.logistic(x, y.astype(float), np.ones(300)), atol=1e-4)
+
+
+def _labelled(spark, stored):
+    texts = list(dict.fromkeys(t for _, t in stored[:60] if t is not None))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return texts, docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(len(texts))], "doc_id long, toxic int")
+
+
+def test_model_of_any_size(spark, stored, monkeypatch):
+    """No number of words or pairs raises the bounds, and a model in many files, of which a worker holds few, judges as one in memory."""
+    for name, value in (("LEAST_PREVIOUS", 2), ("LEAST_PAIR", 3), ("FILE", 20), ("BLOCK", 2), ("HELD", 500), ("GATHERED", 3000)):
+        monkeypatch.setattr(toxicity, name, value)
+    monkeypatch.setattr(toxicity, "MODEL_WORDS", 3, raising=False)
+    monkeypatch.setattr(toxicity, "MODEL_PAIRS", 3, raising=False)
+    texts, docs, labels = _labelled(spark, stored)
+    keys, bounds = toxicity.words(texts)
+    want = toxicity.fit(keys >> np.uint64(toxicity.SHORT), bounds, np.arange(len(texts)) % 3 == 0)
+    want.short = toxicity.SHORT
+    judge = toxicity.learn_all(docs, labels, F.lit(True))
+    got = judge.model
+    assert np.array_equal(got.words, want.words) and np.array_equal(got.pairs, want.pairs) and len(got.files["pairs"]) > 4 and got.gathered
+    others = [*(t for _, t in stored[50:90]), "", None, "Ünïcode it IS"]
+    keys, bounds = toxicity.words(others)
+    assert np.allclose(got.ratios(keys, bounds), want.ratios(keys, bounds), atol=1e-5)
+    asked = spark.createDataFrame(list(enumerate(others)), "doc_id long, text string").coalesce(2)
+    found = {r.doc_id: r.score for r in toxicity.score(asked, judge, ["doc_id"]).collect()}
+    assert np.allclose([found[i] for i in range(len(others))], toxicity.Judge(want, judge.weights).scores(others), atol=1e-4)
+
+
+def test_model_stays_out_of_the_driver(spark, stored, monkeypatch):
+    """What tasks are given are names of files; where Python cannot open these, Spark hands the model out."""
+    texts, docs, labels = _labelled(spark, stored)
+    judge = toxicity.learn_all(docs, labels, F.lit(True))
+    assert len(pickle.dumps(judge)) < 4000
+    monkeypatch.setattr(toxicity, "_file_system", lambda path: (_ for _ in ()).throw(OSError("no such store")))
+    other = toxicity.learn_all(docs.limit(0), labels, F.lit(True))
+    assert other.model is None
+    scratch = toxicity.Scratch(spark)
+    pairs = spark.range(400).selectExpr("id % 20 AS before", "id AS word", "cast(id % 3 as int) AS t0", "cast(9 + id % 5 as int) AS t1")
+    plain = toxicity.fit_counts(pairs, scratch, "plain")
+    monkeypatch.undo()
+    stored_one = toxicity.fit_counts(pairs, scratch, "stored")
+    assert isinstance(plain, toxicity.Model) and isinstance(stored_one, toxicity.Stored) and len(plain.pairs) > 100
+    for name in ("words", "pairs", "lower", "backoff", "higher"):
+        assert np.array_equal(getattr(plain, name), getattr(stored_one, name))
